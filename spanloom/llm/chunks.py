@@ -31,14 +31,14 @@ def plain_word(s: str) -> bool:
 
 
 class ChunkMemo(dict):
-    """chunk -> value. ``words(list)`` values lower-case plain words, ``other(chunk)`` any chunk; ``join`` joins two values.
+    """chunk -> value. ``words(list)`` values lower-case plain words, ``others(list)`` any chunks; ``join`` joins two values.
 
     Two generations: when the younger is full it becomes the older, so frequent chunks stay.
     """
 
-    def __init__(self, words, other, join, most: int = MEMO_ENTRIES):
+    def __init__(self, words, others, join, most: int = MEMO_ENTRIES):
         super().__init__()
-        self.words, self.other, self.join, self.most = words, other, join, most
+        self.words, self.others, self.join, self.most = words, others, join, most
         self.old: dict = {}
         self.parts: dict = {}
         self.old_parts: dict = {}
@@ -57,8 +57,7 @@ class ChunkMemo(dict):
             self.clear()
         if len(self.parts) > self.most:
             self.old_parts, self.parts = self.parts, {}
-        parts, old, split_up, need = self.parts, self.old_parts, [], {}
-        out = {}
+        parts, old, split_up, need, rest = self.parts, self.old_parts, [], {}, []
         for chunk in chunks:
             core = chunk.rstrip(MARKS)
             if core and plain_word(core):
@@ -70,10 +69,11 @@ class ChunkMemo(dict):
                     else:
                         parts[low] = v
                 if tail and tail not in parts:
-                    parts[tail] = self.other(tail)
+                    parts[tail] = self.others([tail])[0]
                 split_up.append((chunk, low, tail))
             else:
-                out[chunk] = self.other(chunk)
+                rest.append(chunk)
+        out = dict(zip(rest, self.others(rest), strict=True)) if rest else {}
         if need:
             need = list(need)
             parts.update(zip(need, self.words(need), strict=True))

@@ -58,14 +58,14 @@ def library_memo(path: str) -> ChunkMemo:
         ids = np.concatenate([np.asarray(e.ids, "<u4") for e in tok.encode_batch_fast(lines, add_special_tokens=False)])
         stops = (4 * (np.flatnonzero(closes[ids]) + 1)).tolist()
         if len(stops) != len(some):
-            return [other(s) for s in some]
+            return others(some)
         raw = ids.tobytes()
         return [raw[a:z] for a, z in zip([0, *stops[:-1]], stops, strict=True)]
 
-    def other(s: str) -> bytes:
-        return np.asarray(tok.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
+    def others(some: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(some, add_special_tokens=False)]
 
-    return ChunkMemo(words, other, bytes.__add__)
+    return ChunkMemo(words, others, bytes.__add__)
 
 
 def put_bits(x: np.ndarray, w: int) -> np.ndarray:
