@@ -149,3 +149,26 @@ def unique_sets(row: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray,
 
 def list_array(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32), pa.int32()), pa.array(values, kind))
+
+
+def fold(buf: np.ndarray) -> np.ndarray:
+    """Lower case of ASCII and Latin-1 letters in UTF-8 bytes; lengths stay."""
+    out = buf.copy()
+    out[(buf >= 65) & (buf <= 90)] += 32
+    if len(buf) > 1:
+        second = np.flatnonzero((buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E) & (buf[1:] != 0x97)) + 1
+        out[second] += 32
+    return out
+
+
+PUNCT = np.zeros(256, bool)
+PUNCT[[c for c in range(33, 127) if not chr(c).isalnum()]] = True
+
+
+def strip_marks(buf: np.ndarray, start: np.ndarray, end: np.ndarray, most: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Spans without up to ``most`` ASCII marks at either end; a span of marks alone keeps its last one."""
+    start, end = start.copy(), end.copy()
+    for _ in range(most):
+        start += (end - start > 1) & PUNCT[buf[start]] if len(start) else 0
+        end -= (end - start > 1) & PUNCT[buf[end - 1]] if len(start) else 0
+    return start, end
