@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+from spanloom.llm.bpe import op10_bpe
+from spanloom.llm.decontamination import op9_decontamination
+from spanloom.llm.html_text import op4_html_text
+from spanloom.llm.language import op2_language
 from spanloom.llm.token_blocks import op1_token_blocks
+from spanloom.llm.toxicity import op3_toxicity
 
 
 def queries() -> dict:
-    return {"op1_token_blocks": op1_token_blocks}
+    return {
+        "op1_token_blocks": op1_token_blocks,
+        "op2_language": op2_language,
+        "op3_toxicity": op3_toxicity,
+        "op4_html_text": op4_html_text,
+        "op9_decontamination": op9_decontamination,
+        "op10_bpe": op10_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
