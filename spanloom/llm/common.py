@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Arrow batches are cut to about this many text bytes before numpy sees them.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -75,3 +75,53 @@ def n_parts(spark: SparkSession) -> int:
 
 def context(spark: SparkSession) -> SparkContext:
     return spark.sparkContext
+
+
+def whole_groups(batches, key: str):
+    """Batches regrouped so that rows of one ``key``, which arrive one after another, are never cut apart."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = b.column(key)
+        last = k[-1]
+        first = int(pc.index(k, last).as_py())
+        if first == 0 and (not held or held[-1].column(key)[-1] == last):
+            held.append(b)  # one group that goes on
+            continue
+        if first == 0:  # a new group fills the batch
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = [b]
+            continue
+        yield pa.Table.from_batches([*held, b.slice(0, first)]).combine_chunks()
+        held = [b.slice(first)]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of (a, b) edges of longs: (node, component), the component being its least node.
+
+    Rounds of contraction: every node moves to its first neighbour (or itself) by an order drawn anew each round, so
+    the nodes that still have edges shrink by a constant share; nothing but counts comes to the driver.
+    """
+    edges = materialise(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    label = None
+    turn = 0
+    while not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        order = F.struct(F.xxhash64(F.col("b"), F.lit(turn)).alias("o"), F.col("b").alias("v"))
+        own = F.struct(F.xxhash64(F.col("a"), F.lit(turn)).alias("o"), F.col("a").alias("v"))
+        move = materialise(both.groupBy("a").agg(F.min(order).alias("m")).select("a", F.least(own, F.col("m"))["v"].alias("to")))
+        if label is None:
+            label = move.select(F.col("a").alias("node"), F.col("to").alias("at"))
+        else:
+            label = label.join(move.select(F.col("a").alias("at"), "to"), "at", "left").select("node", F.coalesce("to", "at").alias("at"))
+        label = materialise(label)
+        edges = edges.join(move, "a").select(F.col("to").alias("a"), "b").join(move.select(F.col("a").alias("b"), F.col("to").alias("t")), "b").select("a", F.col("t").alias("b"))
+        edges = materialise(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        turn += 1
+    if label is None:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    least = label.groupBy("at").agg(F.min("node").alias("component"))
+    return label.join(least, "at").select("node", "component")

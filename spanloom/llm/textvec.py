@@ -81,7 +81,32 @@ def words(buf: np.ndarray, off: np.ndarray, hashes: bool = True) -> Words:
     start, end = np.flatnonzero(solid & first), np.flatnonzero(solid & last) + 1
     bounds = np.searchsorted(start, off)
     row = np.repeat(np.arange(rows), np.diff(bounds))
-    return Words(start, end, row, hash_spans(buf, start, end) if hashes else np.zeros(0, U64), bounds)
+    return Words(start, end, row, _hash_words(buf, start, end) if hashes else np.zeros(0, U64), bounds)
+
+
+def _hash_words(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """As hash_spans, for words that together hold every byte but white space: powers of places in the buffer, taken back per word."""
+    if not len(start):
+        return np.zeros(0, U64)
+    up, down = place_powers(len(buf))
+    x = _BYTE_WORD[buf]
+    x *= up[: len(buf)]
+    return mix(np.add.reduceat(x, start) * down[start] + (end - start).astype(U64))
+
+
+_PLACE = (np.zeros(0, U64), np.zeros(0, U64))
+
+
+def place_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """P**(i + 1) and P**-i for places below n, kept for the next buffer."""
+    global _PLACE
+    if n > len(_PLACE[0]):
+        n = max(n, 1 << 21)
+        back = U64(pow(int(_P), -1, 2**64))
+        down = np.full(n, back, U64)
+        down[0] = 1
+        _PLACE = np.cumprod(np.full(n, _P, U64), dtype=U64), np.cumprod(down, dtype=U64)
+    return _PLACE
 
 
 def hash_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
