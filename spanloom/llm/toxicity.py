@@ -20,7 +20,7 @@ from spanloom.llm import textvec as tv
 from spanloom.llm.common import crc_mod, slices, table
 
 #: Labelled rows that the model is fitted on, of each class, and the longest text (bytes) among them.
-TOXIC_ROWS, CLEAN_ROWS, TRAIN_BYTES = 2000, 4000, 65_536
+TOXIC_ROWS, CLEAN_ROWS, TRAIN_BYTES = 1000, 1500, 16_384
 GROUPS, BITS = 7, 18
 WIDTH = 1 << BITS
 #: A feature marks toxicity if this many times likelier in toxic documents and seen in so many of them that no earlier feature explains.
@@ -117,9 +117,13 @@ def label_tokens(feat: np.ndarray, bounds: np.ndarray, toxic: np.ndarray) -> np.
     """Which tokens carry a feature that marks toxicity, for toxic documents."""
     size, none = GROUPS * WIDTH + 1, GROUPS * WIDTH
     docs = np.repeat(np.arange(len(toxic)), np.diff(bounds))
-    pairs = np.unique((docs[:, None].astype(np.int64) * size + feat).reshape(-1))
-    doc, f = pairs // size, pairs % size
-    doc, f = doc[f != none], f[f != none]
+    pairs = (docs[:, None].astype(np.int64) * size + feat).reshape(-1)
+    pairs.sort()
+    pairs = pairs[np.concatenate(([True], pairs[1:] != pairs[:-1]))]
+    doc, f = (pairs // size).astype(np.int32), (pairs % size).astype(np.int32)
+    del pairs
+    keep = f != none
+    doc, f = doc[keep], f[keep]
     clean = np.bincount(f[~toxic[doc]], minlength=size)
     own, of = doc[toxic[doc]], f[toxic[doc]]
     left = np.bincount(of, minlength=size)
