@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.chunks import MARKS, MEMO_ENTRIES, ChunkMemo, plain_word, split
-from spanloom.llm.common import slices, table
+from spanloom.llm.common import materialise, most_frequent, slices, table
 
 #: Words of the compiled lexicon; with their ids some 3 MB, whatever the corpus.
 LEXICON_WORDS = 100_000
@@ -369,8 +369,8 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, path: str, words: int = LEXICON_WORDS, text: str = "text") -> Broadcast:
-    """Broadcast the compiled lexicon of the ``words`` most frequent words (ties by word)."""
-    top = count_words(docs, text).where("n > 1").orderBy(F.desc("n"), "word").limit(words).collect()
+    """Broadcast the compiled lexicon of the at most ``words`` most frequent words."""
+    top = most_frequent(materialise(count_words(docs, text).where("n > 1")), "n", words).collect()
     return docs.sparkSession.sparkContext.broadcast(compile_lexicon([r.word for r in top], vocabulary(path)))
 
 
