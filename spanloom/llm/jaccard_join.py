@@ -275,5 +275,14 @@ def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return out.select("doc_id", F.when(real, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(real, F.col("copy_of")).otherwise(F.col("doc_id")).alias("copy_of"), F.when(real, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"))
 
 
+def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of docs that stand for their class (the least doc_id; of rows that repeat it, all); all columns kept.
+
+    Rows with a null doc_id stay.
+    """
+    gone = jaccard_join(docs, similarity).where("class_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents", "doc_id", "text"))

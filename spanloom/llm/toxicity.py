@@ -220,7 +220,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def score_texts(model: Model, texts: pa.Array) -> tuple[np.ndarray, list[list[dict]]]:
+def score_texts(model: Model, texts: pa.Array, spans: bool = True) -> tuple[np.ndarray, list[list[dict]]]:
     buf, off = tv.strings(texts)
     w, feat = features(buf, off)
     first = np.zeros(len(feat), bool)
@@ -230,14 +230,14 @@ def score_texts(model: Model, texts: pa.Array) -> tuple[np.ndarray, list[list[di
         s += model.weight[feat[:, g]]
     p = chain(s, first, model.trans)[0]
     score = 1 / (1 + np.exp(-np.clip(document_features(p, w.bounds) @ model.curve, -30, 30)))
-    spans: list[list[dict]] = [[] for _ in range(len(off) - 1)]
-    for i in np.flatnonzero(p >= 0.5).tolist():
+    found: list[list[dict]] = [[] for _ in range(len(off) - 1)]
+    for i in np.flatnonzero(p >= 0.5).tolist() if spans else ():
         r = int(w.row[i])
         text = buf[off[r] : off[r + 1]]
         a, z = int(w.start[i] - off[r]), int(w.end[i] - off[r])
         lead = int(((text[:a] & 0xC0) != 0x80).sum())
-        spans[r].append({"start": lead, "end": lead + int(((text[a:z] & 0xC0) != 0x80).sum()), "p": float(p[i])})
-    return score, spans
+        found[r].append({"start": lead, "end": lead + int(((text[a:z] & 0xC0) != 0x80).sum()), "p": float(p[i])})
+    return score, found
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> DataFrame:
@@ -276,6 +276,18 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(*keep).mapInArrow(run, f"{kinds}, score double, predicted int, spans {SPANS}")
 
 
+def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs scored under 0.5, all columns kept."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for whole in batches:
+            for b in slices(whole, "text"):
+                yield b.filter(pa.array(score_texts(held.value, b.column("text"), spans=False)[0] < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     scored = score_documents(docs, train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
