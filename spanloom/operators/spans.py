@@ -84,5 +84,5 @@ def midpoints(df: DataFrame, at: str, keys: list[str], order: list[str]) -> Data
 
 def recent_extent(df: DataFrame, value: str, seconds: float, at: str, keys: list[str]) -> DataFrame:
     """Least and greatest value of the last so many seconds."""
-    w = Window.partitionBy(*keys).orderBy(at).rangeBetween(-seconds, 0)
+    w = Window.partitionBy(*keys).orderBy((F.col(at) * 1_000_000).cast("long")).rangeBetween(-int(seconds * 1_000_000), 0)
     return df.withColumn("low", F.min(value).over(w)).withColumn("high", F.max(value).over(w))

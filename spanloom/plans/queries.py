@@ -558,14 +558,14 @@ def rate_clock(spark, t, d):
 # --- functions ----------------------------------------------------------------------------------------------------------------------------------
 
 FUNCTIONS = udfs.Registry()
-FUNCTIONS.declare("net", lambda price, discount, tax: F.round(price * (1 - discount) * (1 + tax), 2), price=udfs.REQUIRED, discount=udfs.REQUIRED, tax=F.lit(0.0))
+FUNCTIONS.declare("net", lambda price, discount, tax: F.round(price * (1 - discount) * (1 + tax), 6), price=udfs.REQUIRED, discount=udfs.REQUIRED, tax=F.lit(0.0))
 FUNCTIONS.declare("top_items", lambda df, k: df.withColumn("items", F.slice(F.sort_array(F.transform("items", lambda x: x["l_extendedprice"]), asc=False), 1, k)).select("o_orderkey", F.explode("items").alias("price")), df=udfs.REQUIRED, k=2)
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * (1 - l_discount) * 1.0, 2) AS plain, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 2) AS taxed FROM lineitem WHERE l_shipdate < TIMESTAMP '1994-01-01'")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice * (1 - l_discount) * 1.0, 6) AS plain, round(l_extendedprice * (1 - l_discount) * (1 + l_tax), 6) AS taxed FROM lineitem WHERE l_quantity = 50")
 def fn_default_named(spark, t, d):
     f = FUNCTIONS["net"]
-    l = t("lineitem").where(C("l_shipdate") < F.lit("1994-01-01").cast("timestamp"))  # noqa: E741
+    l = t("lineitem").where("l_quantity = 50")  # noqa: E741
     return l.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", f(C("l_extendedprice"), C("l_discount")).alias("plain"), f(C("l_extendedprice"), tax=C("l_tax"), discount=C("l_discount")).alias("taxed"))
 
 

@@ -89,7 +89,7 @@ def captions(documents: DataFrame, text: str = "text", track: str = "track") ->
     blocks = documents.select(F.col(track), F.posexplode(F.split(F.regexp_replace(text, "\r\n?", "\n"), r"\n[ \t]*\n+")).alias("at", "block"))
     line = rf"(?m)^[ \t]*{_TIME}[ \t]+-->[ \t]+{_TIME}.*$"
     seconds = lambda g: F.coalesce(F.expr(f"try_cast(nullif(regexp_extract(block, r'{line}', {g}), '') AS double)"), F.lit(0.0)) * 3600 + F.regexp_extract("block", line, g + 1).cast("double") * 60 + F.regexp_extract("block", line, g + 2).cast("double") + F.rpad(F.regexp_extract("block", line, g + 3), 3, "0").cast("double") / 1000
-    cues = blocks.where(F.col("block").rlike(line)).select(track, "at", F.trim(F.regexp_replace("block", rf"(?s)^.*?-->[^\n]*\n?", "")).alias("text"), seconds(1).alias("start_t"), seconds(5).alias("end_t"))
+    cues = blocks.where(F.col("block").rlike(line)).select(track, "at", F.regexp_replace(F.regexp_replace("block", r"(?s)^.*?-->[^\n]*\n?", ""), r"^\s+|\s+$", "").alias("text"), seconds(1).alias("start_t"), seconds(5).alias("end_t"))
     order = Window.partitionBy(track).orderBy("at")
     return cues.select(track, F.row_number().over(order).alias("index"), "text", "start_t", "end_t")
 

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def base_dir(spark: SparkSession) -> str:
@@ -20,7 +21,9 @@ def base_dir(spark: SparkSession) -> str:
 def events(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
     """A table's folder as a stream."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").parquet(sf_dir)
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").parquet(sf_dir)
+    # event time needs a time zone; the session's is UTC
+    return rows.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.typeName() == "timestamp_ntz"})
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -42,7 +45,7 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    schema = stream.schema if mode == "append" else stream.schema.add("__batch", "int", False)
+    schema = stream.schema if mode == "append" else T.StructType([*stream.schema, T.StructField("__batch", T.IntegerType())])
     reader = spark.read.schema(schema)
     return reader.parquet(f"{base}/out") if mode == "append" else reader.option("recursiveFileLookup", True).parquet(f"{base}/out")
 
@@ -84,8 +87,6 @@ class KeyedFold:
             state.update(tuple(now[n] for n in names))
             yield pd.DataFrame(out, columns=columns)
 
-        from pyspark.sql import types as T
-
         columns = T._parse_datatype_string(self.output).names
         return stream.groupBy(*keys).applyInPandasWithState(run, self.output, self.state, "append", "NoTimeout")
 
