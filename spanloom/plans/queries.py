@@ -537,12 +537,15 @@ def window_tail(spark, t, d):
 
 
 WINDOW_SQL = "WITH w AS (SELECT *, unnest([time_bucket(INTERVAL '30 minutes', ts, TIMESTAMP '1970-01-01'), time_bucket(INTERVAL '30 minutes', ts, TIMESTAMP '1970-01-01') - INTERVAL '30 minutes']) AS win_start FROM events) SELECT event_type, win_start, win_start + INTERVAL '1 hour' AS win_end, count(*) AS n, round(sum(value), 2) AS total FROM w GROUP BY 1, 2"
-COUNTS = (F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
+
+
+def counts() -> tuple:
+    return F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")
 
 
 @query(WINDOW_SQL)
 def window_time(spark, t, d):
-    return windows.time_windows(t("events"), "ts", "1 hour", "30 minutes", ["event_type"], *COUNTS)
+    return windows.time_windows(t("events"), "ts", "1 hour", "30 minutes", ["event_type"], *counts())
 
 
 @query(f"WITH e AS ({EV}) SELECT event_id, round(coalesce(lead(t) OVER (PARTITION BY user_id ORDER BY t, event_id), -1), 3) AS until FROM e")
@@ -558,7 +561,7 @@ def rate_clock(spark, t, d):
 # --- functions ----------------------------------------------------------------------------------------------------------------------------------
 
 FUNCTIONS = udfs.Registry()
-FUNCTIONS.declare("net", lambda price, discount, tax: F.round(price * (1 - discount) * (1 + tax), 6), price=udfs.REQUIRED, discount=udfs.REQUIRED, tax=F.lit(0.0))
+FUNCTIONS.declare("net", lambda price, discount, tax: F.round(price * (1 - discount) * (1 + tax), 6), price=udfs.REQUIRED, discount=udfs.REQUIRED, tax=0.0)
 FUNCTIONS.declare("top_items", lambda df, k: df.withColumn("items", F.slice(F.sort_array(F.transform("items", lambda x: x["l_extendedprice"]), asc=False), 1, k)).select("o_orderkey", F.explode("items").alias("price")), df=udfs.REQUIRED, k=2)
 
 
@@ -617,12 +620,12 @@ def flagship_runs(spark, t, d):
 
 @query("SELECT event_type, time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') AS win_start, time_bucket(INTERVAL '1 hour', ts, TIMESTAMP '1970-01-01') + INTERVAL '1 hour' AS win_end, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def stream_tumbling(spark, t, d):
-    return streams.last_batch(streams.drain(streams.windowed(streams.events(spark, d), "ts", "1 hour", None, ["event_type"], *COUNTS), "complete"))
+    return streams.last_batch(streams.drain(streams.windowed(streams.events(spark, d), "ts", "1 hour", None, ["event_type"], *counts()), "complete"))
 
 
 @query(WINDOW_SQL)
 def stream_sliding(spark, t, d):
-    return streams.last_batch(streams.drain(streams.windowed(streams.events(spark, d), "ts", "1 hour", "30 minutes", ["event_type"], *COUNTS), "complete"))
+    return streams.last_batch(streams.drain(streams.windowed(streams.events(spark, d), "ts", "1 hour", "30 minutes", ["event_type"], *counts()), "complete"))
 
 
 @query("""WITH f AS (SELECT *, CASE WHEN ts - max(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) <= INTERVAL '2 hours' THEN 0 ELSE 1 END AS fresh FROM events),
@@ -678,7 +681,7 @@ def stream_fanout(spark, t, d):
     streams.fan_out(streams.events(spark, d), [put("view"), put("click")])
     schema = t("events").schema
     out = [spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{base}/{k}") for k in ("view", "click")]
-    return out[0].unionByName(out[1]).groupBy(C("event_type").alias("sink")).agg(*COUNTS)
+    return out[0].unionByName(out[1]).groupBy(C("event_type").alias("sink")).agg(*counts())
 
 
 # --- sources ------------------------------------------------------------------------------------------------------------------------------------------------
