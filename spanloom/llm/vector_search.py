@@ -101,7 +101,7 @@ def search(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: for each query row the k highest integer inner products with other rows, ties to the smaller id.
 
     Rows with the query's own id are no candidates; a repeated id counts as often as it occurs. Vectors of different
-    lengths don't meet. Empty input gives no rows.
+    lengths don't meet. Empty input gives no rows. Scores beyond 64 bits stop at the least or greatest long.
     """
     rows = quantised(vectors)
     blocks = materialise(rows.mapInArrow(lambda it: to_blocks(it, ROWS, "x"), "ids binary, matrix binary, dim int").withColumn("block", F.monotonically_increasing_id()))
@@ -144,7 +144,7 @@ def search(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
                 qi, qm = matrix(q_ids.as_buffer(), q.as_buffer())
                 xi, xm = matrix(ids.as_buffer(), raw.as_buffer())
                 i, j, score = best(qi, qm, xi, xm, np.frombuffer(floor.as_buffer(), np.float64), k)
-                yield pa.RecordBatch.from_arrays([pa.array(qi[i]), pa.array(xi[j]), pa.array(score.tolist(), pa.int64())], names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(qi[i]), pa.array(xi[j]), pa.array([min(max(int(v), -(2**63)), 2**63 - 1) for v in score.tolist()], pa.int64())], names=["query_id", "vec_id", "score"])
 
     found = pairs.mapInArrow(meet, PARTIAL)
 
