@@ -21,7 +21,7 @@ from spanloom.llm.common import slices, table
 #: q-gram length (eight bytes are one machine word), window and its step (normalised bytes), edits as a share of a window, least item.
 Q, WINDOW, STEP, EDITS, LEAST = 8, 80, 40, 0.1, 24
 #: Bytes of benchmark items that one pass over the documents looks for; a larger benchmark takes more passes.
-PASS_BYTES = 8 << 20
+PASS_BYTES = 1 << 20
 _FILTER_BITS = 22
 _MUL = tv.U64(0x9E3779B97F4A7C15)
 _KEEP = np.zeros(256, np.uint8)
