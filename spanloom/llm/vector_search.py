@@ -17,7 +17,9 @@ from spanloom.llm.common import materialise, table, whole_groups
 
 K, SCALE, EVERY = 20, 64, 20
 #: Rows and queries of a block, rows of the sample that sets the floors, segments of each resolution.
-ROWS, QUERIES, SAMPLE, RESOLUTIONS = 4096, 1024, 2048, (4, 16)
+ROWS, QUERIES, SAMPLE, RESOLUTIONS = 4096, 1024, 4096, (4, 16)
+#: Share of a block's pairs that survive the coarse bounds beyond which products are computed as a matrix.
+DENSE = 0.02
 PARTIAL = "query_id long, vec_id long, score long"
 
 
@@ -68,24 +70,39 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.asarray([sum(a * b for a, b in zip(r.tolist(), s.tolist(), strict=True)) for r, s in zip(q, x, strict=True)], object)
 
 
+def reaches(bound: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """Whether an upper bound, give or take rounding, comes up to a limit."""
+    return bound + 1e-9 * np.abs(bound) + 1e-6 >= limit
+
+
 def best(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query number, row number, score) of up to k best rows a query that reach its floor, ties to smaller ids."""
     out: list[tuple] = []
     xf = x.astype(np.float64)
     stats = [statistics(xf, s) for s in RESOLUTIONS]
+    # doubles hold the products and their sums exactly up to here
+    exact = not q.size or not x.size or float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1] < 2**52
     for a in range(0, len(q), 256):
         qf = q[a : a + 256].astype(np.float64)
         # a bound may be off by rounding; keep what comes within that of the floor
         limit = floor[a : a + 256, None] - 1e-6 * (1 + np.abs(floor[a : a + 256, None]))
-        bound = statistics(qf, RESOLUTIONS[0]) @ stats[0].T
-        i, j = np.nonzero(bound * (1 + 1e-9) + 1e-6 >= limit)
-        for s, level in zip(RESOLUTIONS[1:], stats[1:], strict=True):
-            mine = statistics(qf, s)
-            keep = [np.einsum("ij,ij->i", mine[i[c : c + 65536]], level[j[c : c + 65536]]) * (1 + 1e-9) + 1e-6 >= limit[i[c : c + 65536], 0] for c in range(0, len(i), 65536)]
-            ok = np.concatenate(keep) if keep else np.zeros(0, bool)
-            i, j = i[ok], j[ok]
-        got = [products(q[a + i[c : c + 65536]], x[j[c : c + 65536]]) for c in range(0, len(i), 65536)]
-        score = np.concatenate(got) if got else np.zeros(0, np.int64)
+        left = reaches(statistics(qf, RESOLUTIONS[0]) @ stats[0].T, limit)
+        count = int(np.count_nonzero(left))
+        if count > DENSE * left.size and exact:
+            # many survive the coarse bounds: their products come from one matrix product over the rows that have survivors
+            cols = np.flatnonzero(left.any(axis=0))
+            score = qf @ xf[cols].T
+            i, j = np.nonzero(left[:, cols] & (score >= floor[a : a + 256, None]))
+            score, j = score[i, j].astype(np.int64), cols[j]
+        else:
+            i, j = np.nonzero(left)
+            for s, level in zip(RESOLUTIONS[1:], stats[1:], strict=True):
+                mine = statistics(qf, s)
+                keep = [reaches(np.einsum("ij,ij->i", mine[i[c : c + 65536]], level[j[c : c + 65536]]), limit[i[c : c + 65536], 0]) for c in range(0, len(i), 65536)]
+                ok = np.concatenate(keep) if keep else np.zeros(0, bool)
+                i, j = i[ok], j[ok]
+            got = [products(q[a + i[c : c + 65536]], x[j[c : c + 65536]]) for c in range(0, len(i), 65536)]
+            score = np.concatenate(got) if got else np.zeros(0, np.int64)
         i = i + a
         ok = (score >= floor[i]) & (q_ids[i] != x_ids[j])
         i, j, score = i[ok], j[ok], score[ok]
