@@ -77,6 +77,7 @@ def test_line_dedup(docs, docs_rows, no_docs):
 
 def test_line_dedup_first_tries(docs, docs_rows, monkeypatch):
     monkeypatch.setattr(ld, "FIRST_TRIES", 1)
+    monkeypatch.setattr(ld, "BESIDE", 2)
     monkeypatch.setattr(ld, "KNOWN_LINES", 0)
     monkeypatch.setattr(ld, "RANKED_WORDS", 20)
     _, removed = ld.repeated_lines(docs)
@@ -133,3 +134,10 @@ def test_suffix_array():
         for a in (1, 2, 4, 26):
             t = r.randint(0, a, n)
             assert sd.suffix_array(t).tolist() == sorted(range(n), key=lambda i: t[i:].tolist())
+
+
+def test_one_of_each(docs, docs_rows, no_docs):
+    want = sorted(d for d, c, _ in brute_classes(docs_rows) if d == c)
+    out = jj.one_of_each(docs)
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == want
+    assert jj.one_of_each(no_docs).count() == 0
