@@ -11,8 +11,10 @@ from spanloom.functions import predicates as P
 from spanloom.functions import udfs, values
 from spanloom.operators import grouping, joins, pairing, spans, vectors, windows
 from spanloom.operators.relation import Relation, direction, splat, stitch, trim
+from spanloom.plans import dialect
 from spanloom.session import configure
-from spanloom.sources.tables import captions, containers, epoch, scan, series, struct_rows, unnest
+from spanloom.sources import sinks
+from spanloom.sources.tables import captions, containers, epoch, renditions, scan, series, struct_rows, unnest
 from spanloom.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -692,3 +694,58 @@ VTT = "WEBVTT\n\nintro\n00:01.000 --> 00:02.500\nHello\nthere\n\n01:00:03.250 --
 @query("WITH v(track, index, text, start_t, end_t) AS (VALUES ('a', 1, 'Hello' || chr(10) || 'there', 1.0, 2.5), ('a', 2, 'Bye', 3603.25, 3604.0)) SELECT * FROM v")
 def caption_cues(spark, t, d):
     return captions(spark.createDataFrame([("a", VTT), ("b", "no cues"), ("c", None)], "track string, text string"))
+
+
+MANIFEST = """#EXTM3U
+#EXT-X-STREAM-INF:BANDWIDTH=800000,RESOLUTION=640x360,CODECS="avc1,mp4a"
+low.m3u8
+#EXT-X-STREAM-INF:BANDWIDTH=2400000,RESOLUTION=1280x720
+mid.m3u8
+"""
+
+
+@query("WITH v(path, index, bandwidth, height, uri) AS (VALUES ('p', 1, 800000, 360, 'low.m3u8'), ('p', 2, 2400000, 720, 'mid.m3u8')) SELECT * FROM v")
+def rendition_rows(spark, t, d):
+    return renditions(spark.createDataFrame([("p", MANIFEST)], "path string, text string")).select("path", "index", "bandwidth", "height", "uri")
+
+
+@query("SELECT o_orderpriority AS dest, count(*) AS n, sum(o_orderkey) AS keys FROM orders WHERE o_totalprice > 400000 GROUP BY 1")
+def sink_fan_out(spark, t, d):
+    """Rows written one folder a group and read back."""
+    out = f"{streams.base_dir(spark)}/fan"
+    sinks.fan_out(t("orders").where("o_totalprice > 400000"), "o_orderpriority", out)
+    back = spark.read.parquet(out)
+    return back.groupBy(C("o_orderpriority").alias("dest")).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
+@query("SELECT user_id, t FROM (SELECT user_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events) WHERE r % 10 = 0")
+def note_rows(spark, t, d):
+    """Every tenth row of a user."""
+    return windows.numbered(epoch(t("events")), ["user_id"], ["ts", "event_id"]).where((C("rn") + 1) % 10 == 0).select("user_id", "t")
+
+
+def by_dialect(spark, t, text: str, *names: str) -> DataFrame:
+    return dialect.query(spark, text, {n: t(n) for n in names})
+
+
+@query("SELECT n_nationkey, n_name || '/' || r_name AS place, CASE WHEN n_nationkey < 10 THEN 'low' ELSE 'high' END AS half FROM nation LEFT JOIN region ON n_regionkey = r_regionkey AND r_regionkey <> 2 WHERE n_nationkey BETWEEN 3 AND 20")
+def dialect_join(spark, t, d):
+    return by_dialect(spark, t, "SELECT n.n_nationkey, n.n_name || '/' || r.r_name AS place, CASE WHEN n.n_nationkey < 10 THEN 'low' ELSE 'high' END AS half FROM nation n LEFT JOIN region r ON n.n_regionkey = r.r_regionkey AND r.r_regionkey <> 2 WHERE n.n_nationkey BETWEEN 3 AND 20", "nation", "region")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_nationkey - 12 < 0 THEN -((12 - s_nationkey) // 5) ELSE (s_nationkey - 12) // 5 END AS q, upper(s_name) AS u FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 15")
+def dialect_order(spark, t, d):
+    return by_dialect(spark, t, "WITH top AS (SELECT s_suppkey, s_nationkey, s_name FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 15) SELECT s_suppkey, (s_nationkey - 12) / 5 AS q, upper(s_name) AS u FROM top", "supplier")
+
+
+@query("SELECT n_regionkey AS r, array_to_string(list(n_name ORDER BY n_nationkey), ',') AS names FROM nation GROUP BY 1")
+def dialect_gather(spark, t, d):
+    # the table's own order is by key; a CTE makes it the row order
+    out = by_dialect(spark, t, "WITH o AS (SELECT n_regionkey, n_name, n_nationkey FROM nation) SELECT n_regionkey AS r, array_agg(n_name) AS names FROM o GROUP BY n_regionkey", "nation")
+    return out.select("r", F.array_join("names", ",").alias("names"))
+
+
+@query("SELECT g, r.name AS name FROM generate_series(1, 6) x(g) JOIN (VALUES (1, 'a'), (4, 'b')) r(k, name) ON g >= r.k UNION ALL SELECT 0, n_name FROM nation WHERE n_nationkey = 7")
+def dialect_rows(spark, t, d):
+    text = "SELECT g, r.name FROM generate_series(1, 6) g JOIN unnest(ARRAY[STRUCT(1 AS k, 'a' AS name), STRUCT(4 AS k, 'b' AS name)]) r ON g >= r.k UNION ALL SELECT 0 AS g, n_name FROM nation WHERE n_nationkey = :n"
+    return dialect.query(spark, text, {"nation": t("nation")}, variables={"n": "7"})
