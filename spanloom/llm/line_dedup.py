@@ -22,8 +22,14 @@ SIMILARITY = 0.8
 RANKED_WORDS, KNOWN_LINES = 200_000, 50_000
 #: log2 bits of the set of words that occur in more than one line, and of the set of lines that a comparison asks for.
 SEEN_BITS = 25
+#: log2 slots of the table of ranks.
+RANK_BITS = 20
+#: Words up to which a line's bitmap has 64 bits, not 128.
+NARROW = 64
 #: Earlier candidates of a line that are verified at first; the rest follow for the lines that these leave open.
 FIRST_TRIES = 3
+#: Further candidates of a line by one word that are written beside the first tries; where there are more, the word is looked up anew.
+BESIDE = 60
 _SALT1, _SALT2 = tv.U64(0x1F83D9ABFB41BD6B), tv.U64(0x5BE0CD19137E2179)
 
 
@@ -110,17 +116,34 @@ def line_name(doc_id: np.ndarray, line: np.ndarray) -> np.ndarray:
     return tv.mix(doc_id.astype(np.int64).view(tv.U64) * tv._P + line.astype(tv.U64)).view(np.int64)
 
 
-def postings(docs: DataFrame, order: Broadcast, known: Broadcast, similarity: float) -> DataFrame:
-    """word, doc_id, line, n, pos, b1, b2 of every prefix word that occurs elsewhere too."""
+def rank_table(words: np.ndarray, df: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(tags, ranks) by a slot of the hash; of words that share a slot the most frequent keeps it, the others count as rare."""
+    by = np.argsort(df, kind="stable")
+    slot = (words[by] >> tv.U64(64 - RANK_BITS)).astype(np.int64)
+    tags, rank = np.zeros(1 << RANK_BITS, np.uint32), np.zeros(1 << RANK_BITS, np.int64)
+    tags[slot] = words[by].astype(np.uint32)
+    rank[slot] = np.minimum(df[by], 2**31 - 1)
+    return tags, rank
+
+
+def rank_of(tags: np.ndarray, rank: np.ndarray, v: np.ndarray) -> np.ndarray:
+    slot = (v >> tv.U64(64 - RANK_BITS)).astype(np.int64)
+    return np.where(tags[slot] == v.astype(np.uint32), rank[slot], 0)
+
+
+def postings(docs: DataFrame, order: Broadcast, known: Broadcast, similarity: float, asked: Broadcast | None = None) -> DataFrame:
+    """word, doc_id, line, n, pos, b1, b2 of every prefix word that occurs elsewhere too (and is in the set ``asked``)."""
 
     def run(batches):
-        ranked, rank, seen = order.value
-        k_key, k_doc, k_line = known.value
+        tags, rank, seen = order.value
+        k_key, k_doc, k_line, fresh = known.value
         for whole in batches:
             for b in slices(whole, "text"):
                 x = Lines(b.column("text"))
                 doc = b.column("doc_id").to_numpy(zero_copy_only=False)[x.doc] if len(x.doc) else np.zeros(0, np.int64)
                 ask = x.n > 0
+                if len(doc):
+                    ask &= in_set(fresh, line_name(doc, x.number), SEEN_BITS)
                 if len(k_key) and len(doc):
                     k1, _ = x.keys()
                     at = np.minimum(np.searchsorted(k_key, k1), len(k_key) - 1)
@@ -129,20 +152,21 @@ def postings(docs: DataFrame, order: Broadcast, known: Broadcast, similarity: fl
                 v, row = x.values[keep], np.repeat(np.arange(len(x.n)), x.n)[keep]
                 if not len(v):
                     continue
-                at = np.minimum(np.searchsorted(ranked, v), len(ranked) - 1) if len(ranked) else np.zeros(len(v), np.int64)
-                r = np.where(ranked[at] == v, rank[at], 0) if len(ranked) else at
-                by = np.lexsort((v, r, row))
+                # words of a line are in order of their hashes already, which decides between equal ranks
+                by = np.argsort((row << 32) | rank_of(tags, rank, v), kind="stable")
                 v, row = v[by], row[by]
                 start = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
                 n = np.diff(np.append(start, len(row)))
                 bit = tv.mix(v * _SALT1)
                 low, which = tv.U64(1) << (bit & tv.U64(63)), (bit >> tv.U64(6)) & tv.U64(1)
-                b1 = np.bitwise_or.reduceat(np.where(which == 0, low, tv.U64(0)), start)
-                b2 = np.bitwise_or.reduceat(np.where(which == 1, low, tv.U64(0)), start)
+                wide = np.repeat(n > NARROW, n) & (which == 1)  # short lines do with 64 bits
+                b1 = np.bitwise_or.reduceat(np.where(wide, tv.U64(0), low), start)
+                b2 = np.bitwise_or.reduceat(np.where(wide, low, tv.U64(0)), start)
                 line = np.repeat(np.arange(len(start)), n)
                 pos = np.arange(len(row)) - start[line]
                 prefix = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
-                on = np.flatnonzero((pos < prefix[line]) & in_set(seen, v, SEEN_BITS))
+                on = (pos < prefix[line]) & in_set(seen, v, SEEN_BITS)
+                on = np.flatnonzero(on if asked is None else on & in_set(asked.value, v, SEEN_BITS))
                 own, line = row[on], line[on]
                 cols = (v[on].view(np.int64), doc[own], x.number[own].astype(np.int32), n[line].astype(np.int32), pos[on].astype(np.int32), b1[line].view(np.int64), b2[line].view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["word", "doc_id", "line", "n", "pos", "b1", "b2"])
@@ -151,16 +175,30 @@ def postings(docs: DataFrame, order: Broadcast, known: Broadcast, similarity: fl
 
 
 def fits(n, pos, b1, b2, i: np.ndarray, j: np.ndarray, t: float) -> np.ndarray:
-    """Whether lines i and j, which share the word at these places, can still reach the overlap."""
+    """Whether lines i and j can reach the overlap if the word at these places is the first that they share.
+
+    A later shared word needs no candidate of its own: the first one has made it.
+    """
     need = overlap_needed(n[i], n[j], t)
     ok = np.minimum(n[i], n[j]) >= t * np.maximum(n[i], n[j]) - 1e-9
-    ok &= 1 + np.minimum(n[i] - pos[i] - 1, n[j] - pos[j] - 1) + np.minimum(pos[i], pos[j]) >= need
-    apart = np.bitwise_count(b1[i] ^ b1[j]).astype(np.int64) + np.bitwise_count(b2[i] ^ b2[j])
-    return ok & (n[i] + n[j] - apart >= 2 * need)
+    ok &= np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need
+    return ok & (n[i] + n[j] - bits_apart(n, b1, b2, i, j) >= 2 * need)
+
+
+def bits_apart(n, b1, b2, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Bits in which two bitmaps differ: at most as many as the words in which the lines do."""
+    x1, y1, x2, y2 = b1[i], b1[j], b2[i], b2[j]
+    fold = (n[i] <= NARROW) | (n[j] <= NARROW)
+    one = np.where(fold, (x1 | x2) ^ (y1 | y2), x1 ^ y1)
+    return np.bitwise_count(one).astype(np.int64) + np.bitwise_count(np.where(fold, tv.U64(0), x2 ^ y2))
 
 
 def candidates(posts: DataFrame, similarity: float, parts: int, tries: int | None) -> DataFrame:
-    """a_doc, a_line, b_doc, b_line, more: pairs of a line and an earlier one; with ``tries`` the nearest so many by bitmap per word, ``more`` telling that others wait."""
+    """a_doc, a_line, b_doc, b_line, d_docs, d_lines, word: pairs of a line and an earlier one.
+
+    With ``tries`` only the nearest so many by bitmap per word. The first pair of a line has the others that wait
+    beside it (d_docs, d_lines), or the ``word``, if they are more than ``BESIDE``.
+    """
 
     def run(batches):
         for t in whole_groups(batches, "word"):
@@ -186,20 +224,28 @@ def candidates(posts: DataFrame, similarity: float, parts: int, tries: int | Non
                 i, j = i[ok], j[ok]
                 if not len(i):
                     continue
-                more = np.zeros(len(i), bool)
+                beside = np.zeros(len(i) + 1, np.int64)
+                d = np.zeros(0, np.int64)
+                hot = np.zeros(len(i), bool)
                 if tries is not None:
-                    apart = np.bitwise_count(b1[i] ^ b1[j]).astype(np.int64) + np.bitwise_count(b2[i] ^ b2[j]) + np.abs(n[i] - n[j])
+                    apart = bits_apart(n, b1, b2, i, j) + np.abs(n[i] - n[j])
                     by = np.lexsort((j, apart, i))
                     i, j = i[by], j[by]
                     first = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))
                     count = np.diff(np.append(first, len(i)))
                     turn = np.arange(len(i)) - np.repeat(first, count)
-                    more = np.repeat(count > tries, count)
-                    i, j, more = i[turn < tries], j[turn < tries], more[turn < tries]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (doc[i], line[i], doc[j], line[j], more)], names=["a_doc", "a_line", "b_doc", "b_line", "more"])
+                    each = np.repeat(count, count)
+                    tried = turn < tries
+                    d = j[~tried & (each <= tries + BESIDE)]
+                    waits = np.where((each <= tries + BESIDE) & (turn == 0), np.maximum(each - tries, 0), 0)[tried]
+                    beside = np.concatenate(([0], np.cumsum(waits)))
+                    hot = ((each > tries + BESIDE) & (turn == 0))[tried]
+                    i, j = i[tried], j[tried]
+                cols = [pa.array(doc[i]), pa.array(line[i]), pa.array(doc[j]), pa.array(line[j]), tv.list_array(doc[d], beside, pa.int64()), tv.list_array(line[d], beside, pa.int32()), pa.array(word[i], mask=~hot)]
+                yield pa.RecordBatch.from_arrays(cols, names=["a_doc", "a_line", "b_doc", "b_line", "d_docs", "d_lines", "word"])
 
     dealt = posts.repartition(parts, "word").sortWithinPartitions("word", "doc_id", "line")
-    return dealt.mapInArrow(run, "a_doc long, a_line int, b_doc long, b_line int, more boolean")
+    return dealt.mapInArrow(run, "a_doc long, a_line int, b_doc long, b_line int, d_docs array<long>, d_lines array<int>, word long")
 
 
 def verify(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
@@ -215,10 +261,19 @@ def verify(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(line_name(b.column("d").to_numpy(), b.column("l").to_numpy()))], names=["h"])
 
+    def documents(batches):
+        for b in batches:
+            d = b.column("d").to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(line_name(d, np.zeros(len(d))))], names=["h"])
+
+    sides = materialise(sides)
     wanted = spark.sparkContext.broadcast(bit_set(sides.mapInArrow(names, "h long"), SEEN_BITS))
+    holders = spark.sparkContext.broadcast(bit_set(sides.select("d").distinct().mapInArrow(documents, "h long"), SEEN_BITS))
 
     def sets(batches):
         for whole in batches:
+            d = whole.column("doc_id").to_numpy(zero_copy_only=False)
+            whole = whole.filter(pa.array(in_set(holders.value, line_name(d, np.zeros(len(d))), SEEN_BITS)))
             for b in slices(whole, "text"):
                 x = Lines(b.column("text"))
                 if not len(x.n):
@@ -260,28 +315,47 @@ def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[Dat
     words = told.where("n = -1").groupBy("k1").agg(F.sum("k2").alias("df")).where("df > 1")
     words = materialise(words)
     top = most_frequent(words, "df", RANKED_WORDS).toArrow()
-    ranked = top.column("k1").to_numpy().view(tv.U64)
-    by = np.argsort(ranked)
-    order = spark.sparkContext.broadcast((ranked[by], top.column("df").to_numpy()[by], bit_set(words.select(F.col("k1").alias("h")), SEEN_BITS)))
+    ranks = rank_table(top.column("k1").to_numpy().view(tv.U64), top.column("df").to_numpy())
+    order = spark.sparkContext.broadcast((*ranks, bit_set(words.select(F.col("k1").alias("h")), SEEN_BITS)))
 
     at = F.struct("doc_id", "line")
     classes = materialise(lines.where("n > 0").groupBy("k1", "k2").agg(F.min(at).alias("first"), F.count("*").alias("w")).where("w > 1").select("k1", "k2", "w", F.col("first.doc_id").alias("f_doc"), F.col("first.line").alias("f_line")))
-    again = lines.join(classes, ["k1", "k2"]).where("doc_id <> f_doc OR line <> f_line").select("doc_id", "line")
-    often = most_frequent(classes, "w", KNOWN_LINES).toArrow()
+    twin = F.col("f_doc").isNotNull() & ((F.col("doc_id") != F.col("f_doc")) | (F.col("line") != F.col("f_line")))
+    status = materialise(lines.where("n > 0").join(classes, ["k1", "k2"], "left").select("doc_id", "line", twin.alias("again")))
+    again = status.where("again").select("doc_id", "line")
+
+    def names(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(line_name(b.column("doc_id").to_numpy(), b.column("line").to_numpy()))], names=["h"])
+
+    # lines that repeat a set whole are settled: tasks skip those that this set shows to be no first ones, and the most frequent for sure
+    fresh = bit_set(status.where("NOT again").select("doc_id", "line").mapInArrow(names, "h long"), SEEN_BITS)
+    often = most_frequent(classes.where("w > 3"), "w", KNOWN_LINES).toArrow()
     k = often.column("k1").to_numpy()
     by = np.argsort(k, kind="stable")
-    known = spark.sparkContext.broadcast((k[by], often.column("f_doc").to_numpy()[by], often.column("f_line").to_numpy()[by]))
+    known = spark.sparkContext.broadcast((k[by], often.column("f_doc").to_numpy()[by], often.column("f_line").to_numpy()[by], fresh))
 
-    posts, parts = postings(docs, order, known, similarity), n_parts(spark)
-    near = materialise(candidates(posts, similarity, parts, FIRST_TRIES))
-    first = materialise(verify(docs, near.select("a_doc", "a_line", "b_doc", "b_line").distinct(), similarity))
-    open_lines = near.where("more").select(F.col("a_doc").alias("doc_id"), F.col("a_line").alias("line")).distinct().join(first, ["doc_id", "line"], "left_anti")
+    parts = n_parts(spark)
+    near = materialise(candidates(postings(docs, order, known, similarity), similarity, parts, FIRST_TRIES))
+    pairs = near.select("a_doc", "a_line", "b_doc", "b_line").distinct()
+    first = materialise(verify(docs, pairs, similarity))
     removed = again.unionByName(first)
-    open_lines = materialise(open_lines)
-    if not open_lines.isEmpty():
-        # the exact rest: all earlier candidates of the lines that the first tries left open
-        rest = candidates(posts, similarity, parts, None).select(F.col("a_doc").alias("doc_id"), F.col("a_line").alias("line"), "b_doc", "b_line").join(open_lines, ["doc_id", "line"])
-        rest = rest.select(F.col("doc_id").alias("a_doc"), F.col("line").alias("a_line"), "b_doc", "b_line").distinct()
+
+    def still_open(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumnsRenamed({"a_doc": "doc_id", "a_line": "line"})
+        return materialise(rows.join(first, ["doc_id", "line"], "left_anti").withColumnsRenamed({"doc_id": "a_doc", "line": "a_line"}))
+
+    # the exact rest, for lines that the first tries left open: the candidates written beside them ...
+    waiting = still_open(near.where(F.size("d_docs") > 0).select("a_doc", "a_line", "d_docs", "d_lines"))
+    if not waiting.isEmpty():
+        rest = waiting.select("a_doc", "a_line", F.explode(F.arrays_zip("d_docs", "d_lines")).alias("d")).select("a_doc", "a_line", F.col("d.d_docs").alias("b_doc"), F.col("d.d_lines").alias("b_line")).distinct()
+        removed = removed.unionByName(verify(docs, materialise(rest), similarity))
+    # ... and all earlier lines with the words that held too many to write
+    waiting = still_open(near.where("word IS NOT NULL").select("a_doc", "a_line", "word"))
+    if not waiting.isEmpty():
+        asked = spark.sparkContext.broadcast(bit_set(waiting.select(F.col("word").alias("h")).distinct(), SEEN_BITS))
+        rest = candidates(postings(docs, order, known, similarity, asked), similarity, parts, None).select("a_doc", "a_line", "b_doc", "b_line")
+        rest = rest.join(waiting.select("a_doc", "a_line").distinct(), ["a_doc", "a_line"]).distinct()
         removed = removed.unionByName(verify(docs, materialise(rest), similarity))
     return lines.groupBy("doc_id").agg((F.max("line") + 1).alias("n_lines")), removed.distinct()
 
