@@ -283,7 +283,7 @@ class Codec:
         self.text_of = np.empty(self.vocab.size, object)
         for i, s in self.vocab.strings.items():
             self.text_of[i] = s
-        self.memo = ChunkMemo(self.words, self.others, lambda a, b: (a[0] + b[0], f"{a[1]} {b[1]}"), MEMO_ENTRIES // 2)
+        self.memo = ChunkMemo(self.words, self.others, lambda a, b: (a[0] + b[0], f"{a[1]} {b[1]}"), MEMO_ENTRIES // 5)
 
     def word_ids(self, words: list[str]) -> list[np.ndarray]:
         raws = [w.encode() for w in words]
