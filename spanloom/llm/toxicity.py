@@ -20,7 +20,7 @@ from spanloom.llm import textvec as tv
 from spanloom.llm.common import crc_mod, slices, table
 
 #: Labelled rows that the model is fitted on, of each class, and the longest text (bytes) among them.
-TOXIC_ROWS, CLEAN_ROWS, TRAIN_BYTES = 1000, 1500, 16_384
+TOXIC_ROWS, CLEAN_ROWS, TRAIN_BYTES = 700, 1000, 12_288
 GROUPS, BITS = 7, 18
 WIDTH = 1 << BITS
 #: A feature marks toxicity if this many times likelier in toxic documents and seen in so many of them that no earlier feature explains.
