@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.errors import DialectError
+from spanloom.streaming.streams import base_dir
 from spanloom.types import refuse_vectors
 
 ORD = "__ord"
@@ -60,6 +61,28 @@ class Relation:
         df = self.order_by(*keys)
         return (df.offset(offset) if offset else df).limit(n).drop(ORD)
 
+    def placed(self, *keys: tuple[str | Column, str], name: str = "place") -> DataFrame:
+        """Every row with its 1-based place by the keys, ties in row order.
+
+        The rows are dealt out by ranges of the keys and written once, so that the ranges cannot change between
+        counting and numbering; each is numbered by itself, after the counts of the ranges before it. No task sees all
+        rows, and one count a range reaches the driver.
+        """
+        refuse_vectors(self.df, [k for k, _ in keys if isinstance(k, str)], "sorted by")
+        order = [*(direction(F.col(k) if isinstance(k, str) else k, how) for k, how in keys), F.col(ORD)]
+        spark, path = self.df.sparkSession, f"{base_dir(self.df.sparkSession)}/ranges"
+        ranges = self.df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
+        ranges.write.parquet(path)
+        rows = spark.read.schema(ranges.schema).parquet(path)
+        sizes = {r["__range"]: r["count"] for r in rows.groupBy("__range").count().collect()}
+        starts, total = [], 0
+        for k in sorted(sizes):
+            starts.append((k, total))
+            total += sizes[k]
+        before = F.broadcast(spark.createDataFrame(starts, "__range int, __before long"))
+        own = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+        return rows.withColumn("__own", own).join(before, "__range").withColumn(name, F.col("__before") + F.col("__own")).drop("__range", "__before", "__own", ORD)
+
     def union_all(self, *others: Relation) -> Relation:
         """Branches after each other; columns by name."""
         parts = [r.df.withColumn(ORD, F.struct(F.lit(k).alias("branch"), F.to_json(ORD).alias("row"))) for k, r in enumerate((self, *others))]

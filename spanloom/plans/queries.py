@@ -363,6 +363,13 @@ def order_nulls(spark, t, d):
     return top.withColumn("place", F.row_number().over(Window.orderBy(direction(C("seg"), "desc"), "c_custkey")))
 
 
+@query("WITH c AS (SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS seg FROM customer) SELECT c_custkey, seg, row_number() OVER (ORDER BY seg DESC NULLS FIRST, c_custkey) AS place FROM c")
+def order_nulls_all(spark, t, d):
+    """The place of every customer, where ``order_nulls`` has the first 400."""
+    c = Relation.of(t("customer").select("c_custkey", F.nullif(C("c_mktsegment"), F.lit("BUILDING")).alias("seg")), "c_custkey")
+    return c.placed(("seg", "desc"))
+
+
 @query("SELECT o_orderkey, o_totalprice * -1 AS o_totalprice FROM orders ORDER BY o_totalprice * -1, o_orderkey LIMIT 25")
 def order_alias(spark, t, d):
     return Relation.of(t("orders"), "o_orderkey").project("o_orderkey", (C("o_totalprice") * -1).alias("o_totalprice")).limit([("o_totalprice", "asc")], 25)

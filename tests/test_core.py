@@ -275,3 +275,26 @@ def test_latency():
 def test_session(spark):
     configure(spark)
     assert spark.conf.get("spark.sql.mapKeyDedupPolicy") == "LAST_WIN"
+
+
+def test_places_of_all(spark):
+    """Every row has its place: NULLs first under desc, ties in row order, ranges of several tasks joined without gaps."""
+    r = random.Random(9)
+    rows = [(k, r.choice([None, "a", "b", "c", "d"])) for k in range(3000)]
+    df = spark.createDataFrame(rows, "k long, s string").repartition(5)
+    want = sorted(rows, key=lambda x: (x[1] is not None, -ord(x[1] or "~"), x[0]))
+    got = sorted((x.place, x.k, x.s) for x in Relation.of(df, "k").placed(("s", "desc")).collect())
+    assert got == [(i, *x) for i, x in enumerate(want, 1)]
+    assert Relation.of(df.limit(0), "k").placed(("s", "desc")).count() == 0
+
+
+def test_order_nulls_all(spark):
+    """The order of non-null segments shows: places of all customers, the first 400 as ``order_nulls`` has them."""
+    from spanloom.plans.queries import QUERIES
+
+    d = "/root/testdata/sf0.01"
+    rows = {r.place: (r.c_custkey, r.seg) for r in QUERIES["order_nulls_all"](spark, d).collect()}
+    assert sorted(rows) == list(range(1, spark.read.parquet(f"{d}/customer.parquet").count() + 1))
+    seen = list(dict.fromkeys(rows[k][1] for k in sorted(rows)))
+    assert seen[0] is None and seen[1:] == sorted(seen[1:], reverse=True) and len(seen) == 5
+    assert all(rows[r.place] == (r.c_custkey, r.seg) for r in QUERIES["order_nulls"](spark, d).collect())
