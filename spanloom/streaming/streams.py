@@ -18,10 +18,19 @@ def base_dir(spark: SparkSession) -> str:
     return f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/spanloom-checkpoints').rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Asked of the store itself, so that any path Spark can read will do."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
 def events(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
-    """A table's folder as a stream."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").parquet(sf_dir)
+    """A table as a stream: every part file of a folder, or the one file of that very name."""
+    path = f"{sf_dir}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    reader = spark.readStream.schema(schema)
+    # a stream's path is a folder; a single file is picked by name from the folder it lies in
+    rows = reader.parquet(path) if is_folder(spark, path) else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
     # event time needs a time zone; the session's is UTC
     return rows.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.typeName() == "timestamp_ntz"})
 

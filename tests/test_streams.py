@@ -1,6 +1,7 @@
 """Late dropping, run-time lateral, and a folded state that outlives its batch."""
 
 import random
+import shutil
 
 import pytest
 
@@ -65,3 +66,20 @@ def test_fold_over_batches(spark, tmp_path):
 
     got = streams.drain(streams.KeyedFold(step, {"n": 0}, "i int, n int", "n int", ["i"])(stream, ["k"])).collect()
     assert sorted(r.n for r in got) == list(range(1, 13))
+
+
+def test_stream_of_part_files(spark, tmp_path):
+    """A folder of part files streams whole, a single file by its own name; a neighbour with the same prefix stays out."""
+    from spanloom.plans.queries import QUERIES
+
+    whole = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    (tmp_path / "folder").mkdir()
+    (tmp_path / "file").mkdir()
+    whole.repartition(3).write.parquet(str(tmp_path / "folder/events.parquet"))
+    shutil.copy("/root/testdata/sf0.001/events.parquet", tmp_path / "file/events.parquet")
+    for place in ("folder", "file"):
+        shutil.copy("/root/testdata/sf0.001/events.parquet", tmp_path / place / "events_old.parquet")
+        got = streams.drain(streams.events(spark, str(tmp_path / place)))
+        assert sorted(r.event_id for r in got.select("event_id").collect()) == sorted(r.event_id for r in whole.select("event_id").collect())
+    for name in ("stream_tumbling", "stream_hold"):
+        assert sorted(map(repr, QUERIES[name](spark, str(tmp_path / "folder")).collect())) == sorted(map(repr, QUERIES[name](spark, "/root/testdata/sf0.001").collect()))
