@@ -25,7 +25,7 @@ PAGES, TREES, DEPTH, RATE, BINS = 700, 50, 4, 0.2, 32
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)"
-    r"|<(script|style|noscript|template|svg|iframe|textarea|select|object|math)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?:/>|>.*?(?:</\1\s*>|$))"
+    r"|<(script|style|textarea|iframe)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*(?:/>|>.*?(?:</\1\s*>|$))"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|$)",
     re.S | re.I,
 )
@@ -34,6 +34,8 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 CONTROLS = frozenset("input button label option".split())
+#: Inline elements that are nodes even without attributes, so that the trees decide about their text.
+EMBEDDED = frozenset("svg math object select template noscript".split())
 ENDS_P = BLOCK - {"td", "th", "tr", "option", "html", "head", "body", "tbody", "thead", "tfoot"}
 #: Start tags that end an open element, and where the search for it stops.
 ENDS = {
@@ -134,7 +136,7 @@ def parse(source: str) -> Page:
             page.controls[node] += 1
         if name in VOID:
             continue
-        if name in BLOCK or tokens or name in CONTROLS:
+        if name in BLOCK or tokens or name in CONTROLS or name in EMBEDDED:
             node = len(page.tag)
             page.tag.append(name)
             page.parent.append(stack[-1][1])

@@ -255,3 +255,18 @@ def test_pipeline(spark):
     assert len(ids) == len(set(ids)) > 100
     assert all(r.n_tokens == len(r.ids.split()) for r in out)
     assert pa.__version__
+
+
+@pytest.mark.parametrize("tag", ['<svg-icon name="x"></svg-icon>', "<template-x>", "<script-loader src=a></script-loader>", "<svg>", "<object data=a>", "<select>", "<math>", "<template>", "<noscript>", "<SVG/>", "<script>var a='<p>no</p>'</script>", "<iframe src=a></iframe>"])
+def test_html_names(tag):
+    """Custom elements and unclosed embedded ones leave the rest of the article; raw text runs to its own end tag."""
+    first, second = "First of the text, and long enough to tell.", "Second of the text, which goes on for some words more."
+    page = f"<html><body><nav><a>Home</a></nav><article><p>{first}</p>{tag}<p>{second}</p></article><footer>&copy; x</footer></body></html>"
+    assert html_text.extract([page], html_text.model()) == [f"{first}\n{second}"]
+
+
+def test_html_embedded():
+    """Text in math, objects and the like reaches the trees as nodes of its own."""
+    page = html_text.parse("<article><math><mi>x</mi></math><object><p>Inner text.</p></object><svg><text>y</text></svg><style>p{}</style></article>")
+    assert "".join(page.text) == "xInner text.y"
+    assert [t for t in page.tag if t in html_text.EMBEDDED] == ["math", "object", "svg"]
