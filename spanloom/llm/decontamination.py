@@ -3,7 +3,7 @@
 Texts and items are normalised (case, marks and white space folded). An item is cut into overlapping windows; a
 window of m characters with k edits shares at least m - q + 1 - k q of its q-grams with the text on diagonals that
 lie within k of each other. Shared q-grams are counted in overlapping bands of diagonals, bands that meet the bound
-are verified by banded alignment.
+are verified by banded alignment. Items too short for that are matched exactly, as runs of whole words.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from spanloom.llm import textvec as tv
 from spanloom.llm.common import slices, table
 
-#: q-gram length (eight bytes are one machine word), window and its step (normalised bytes), edits as a share of a window, least item.
+#: q-gram length (eight bytes are one machine word), window and its step (normalised bytes), edits as a share of a window, least item matched with edits.
 Q, WINDOW, STEP, EDITS, LEAST = 8, 80, 40, 0.1, 24
+#: Windows a step. They lie no further apart than twice the edits of one and one more (17), so that any verbatim stretch of a window's length is within the edits of some window.
+FINER = 3
 #: Bytes of benchmark items that one pass over the documents looks for; a larger benchmark takes more passes.
 PASS_BYTES = 1 << 20
 _FILTER_BITS = 22
@@ -56,7 +58,7 @@ def grams(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Patterns:
-    item: list  # item id of each window
+    item: list  # item id of each window, then of each short item
     text: np.ndarray  # windows x WINDOW bytes, 0 beyond the end
     size: np.ndarray
     gram: np.ndarray  # sorted distinct grams
@@ -64,20 +66,31 @@ class Patterns:
     window: np.ndarray
     place: np.ndarray
     bits: np.ndarray  # filter
+    short: dict  # number of words -> (hashes, bytes -> places in ``item``) of the items under LEAST
+
+
+def word_runs(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every n words in a row."""
+    m = len(h) - n + 1
+    out = h[:m].copy()
+    for k in range(1, n):
+        out = tv.mix(out * _MUL + h[k : m + k])
+    return out
 
 
 def patterns(items: list[tuple]) -> Patterns | None:
-    """Windows of (item_id, text) and their q-grams; items under LEAST normalised bytes are too short to tell."""
-    item, text, size, g, win, at = [], [], [], [], [], []
+    """Windows of (item_id, text) and their q-grams; items under LEAST normalised bytes as runs of words."""
+    item, text, size, g, win, at, low = [], [], [], [], [], [], []
     for name, t in items:
         raw = np.frombuffer((t or "").encode(), np.uint8)
         x, _, _ = normalise(raw, np.asarray([0, len(raw)]))
         while len(x) and x[-1] == 32:
             x = x[:-1]
         if len(x) < LEAST:
+            low += [(name, x)] * (len(x) > 0)
             continue
         last = max(0, len(x) - WINDOW)
-        for s in sorted({*range(0, last, STEP), last}):
+        for s in sorted({*(k * STEP // FINER for k in range(last * FINER // STEP + 1)), last}):
             w = x[s : s + WINDOW]
             k = grams(w)
             g.append(k)
@@ -86,15 +99,23 @@ def patterns(items: list[tuple]) -> Patterns | None:
             item.append(name)
             size.append(len(w))
             text.append(np.pad(w, (0, WINDOW - len(w))))
+    short: dict = {}
+    for k, (name, x) in enumerate(low, len(item)):
+        h = tv.words(x, np.asarray([0, len(x)])).hash
+        hashes, places = short.setdefault(len(h), ([], {}))
+        hashes.append(word_runs(h, len(h))[0])
+        places.setdefault(x.tobytes(), []).append(k)
+    short = {n: (np.unique(np.asarray(hashes, tv.U64)), places) for n, (hashes, places) in short.items()}
+    item += [name for name, _ in low]
     if not item:
         return None
-    g, win, at = np.concatenate(g), np.concatenate(win), np.concatenate(at)
+    g, win, at = np.concatenate([np.zeros(0, tv.U64), *g]), np.concatenate([np.zeros(0, np.int64), *win]), np.concatenate([np.zeros(0, np.int64), *at])
     order = np.lexsort((at, win, g))
     g, win, at = g[order], win[order], at[order]
     gram, start = np.unique(g, return_index=True)
     bits = np.zeros(1 << _FILTER_BITS, bool)
     bits[(gram * _MUL) >> tv.U64(64 - _FILTER_BITS)] = True
-    return Patterns(item, np.stack(text), np.asarray(size), gram, np.append(start, len(g)), win, at, bits)
+    return Patterns(item, np.stack(text) if text else np.zeros((0, WINDOW), np.uint8), np.asarray(size, np.int64), gram, np.append(start, len(g)), win, at, bits, short)
 
 
 def budget(size: np.ndarray) -> np.ndarray:
@@ -121,12 +142,31 @@ def align(p: Patterns, window: np.ndarray, x: np.ndarray, low: np.ndarray, high:
     return best, ends
 
 
+def whole_words(p: Patterns, x: np.ndarray, rows: np.ndarray):
+    """(row, place in ``item``, begin, end) of the short items in normalised texts."""
+    if not p.short:
+        return
+    w = tv.words(x, rows)
+    for n, (hashes, places) in p.short.items():
+        if len(w.hash) < n:
+            continue
+        h = word_runs(w.hash, n)
+        for i in np.flatnonzero(np.isin(h, hashes) & (w.row[: len(h)] == w.row[n - 1 :])).tolist():
+            begin, end = int(w.start[i]), int(w.end[i + n - 1])
+            for k in places.get(x[begin:end].tobytes(), ()):
+                yield int(w.row[i]), k, begin, end
+
+
 def search(p: Patterns, texts: pa.Array) -> dict[tuple[int, int], list]:
-    """(row, item number) -> [edits, windows matched, first byte, end byte] in the texts' own bytes."""
+    """(row, place in ``item``) -> [edits, first byte, end byte] in the texts' own bytes."""
     buf, off = tv.strings(texts)
     x, rows, place = normalise(buf, off)
     g = grams(x)
     found: dict[tuple[int, int], list] = {}
+    for r, k, begin, end in whole_words(p, x, rows):
+        low, high = int(place[begin] - off[r]), int(place[end - 1] + 1 - off[r])
+        own = found.setdefault((r, k), [0, low, high])
+        own[:] = [0, min(own[1], low), max(own[2], high)]
     hit = np.flatnonzero(p.bits[(g * _MUL) >> tv.U64(64 - _FILTER_BITS)])
     if not len(hit):
         return found

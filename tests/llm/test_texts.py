@@ -270,3 +270,25 @@ def test_html_embedded():
     page = html_text.parse("<article><math><mi>x</mi></math><object><p>Inner text.</p></object><svg><text>y</text></svg><style>p{}</style></article>")
     assert "".join(page.text) == "xInner text.y"
     assert [t for t in page.tag if t in html_text.EMBEDDED] == ["math", "object", "svg"]
+
+
+def test_decontamination_off_grid():
+    """A verbatim stretch as long as a window is found wherever it begins in its item."""
+    r = random.Random(12)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(r.randint(3, 7)))
+    item = " ".join(word("abcdefgh") for _ in range(60))
+    p = decontamination.patterns([(1, item)])
+    around = " ".join(word("stuvwxyz") for _ in range(30))
+    texts = [f"{around}{item[k : k + 80]}{around}" for k in range(len(item) - 79)]
+    assert {row for row, _ in decontamination.search(p, pa.array(texts))} == set(range(len(texts)))
+
+
+def test_decontamination_short_items(spark):
+    """Items too short for windows match as whole words, in their normal form; others stay as they are."""
+    bench = spark.createDataFrame([(1, "Red fox."), (2, "42"), (3, "a red fox ran far"), (4, "!?"), (5, "red fox")], "item_id long, text string")
+    rows = [(1, "See: RED -- fox!"), (2, "red foxes, hundred fox"), (3, "it is 42"), (4, "421 142"), (5, "red"), (6, "fox"), (7, "A red fox ran far, a red fox"), (8, None), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {(x.doc_id, x.item_id): (x.n_windows, x.edits, x.first_byte, x.end_byte) for x in decontamination.matches(docs, bench).collect()}
+    assert set(got) == {(1, 1), (1, 5), (3, 2), (7, 1), (7, 3), (7, 5)}
+    assert got[1, 1] == (1, 0, 5, 15) and got[7, 5] == (1, 0, 2, 28) and got[3, 2] == (1, 0, 6, 8)
+    assert sorted(x.doc_id for x in decontamination.clean_documents(docs, bench).collect()) == [2, 4, 5, 6, 8, 9]
