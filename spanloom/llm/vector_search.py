@@ -3,6 +3,8 @@
 With segment means m, deviations s and length L, |q - x|^2 >= sum L ((mq - mx)^2 + (sq - sx)^2); together with the
 norms that bounds the inner product from above: q.x <= sum L (mq mx + sq sx). Bounds are taken on few long segments
 first and on more, shorter ones for what they leave; exact integer products are computed for the survivors alone.
+Where more than DENSE of the pairs survive the coarse bounds, the finer ones are skipped and a dense matrix product
+scores every row that has a survivor: a fallback, and what runs on vectors that the bounds do not prune.
 Queries and rows meet block by block; a bounded sample of rows gives each query a first floor under its k-th score.
 """
 
