@@ -78,7 +78,7 @@ def test_stream_of_part_files(spark, tmp_path):
     whole.repartition(3).write.parquet(str(tmp_path / "folder/events.parquet"))
     shutil.copy("/root/testdata/sf0.001/events.parquet", tmp_path / "file/events.parquet")
     for place in ("folder", "file"):
-        shutil.copy("/root/testdata/sf0.001/events.parquet", tmp_path / place / "events_old.parquet")
+        shutil.copy("/root/testdata/sf0.01/events.parquet", tmp_path / place / "events_old.parquet")
         got = streams.drain(streams.events(spark, str(tmp_path / place)))
         assert sorted(r.event_id for r in got.select("event_id").collect()) == sorted(r.event_id for r in whole.select("event_id").collect())
     for name in ("stream_tumbling", "stream_hold"):
