@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 import zlib
+from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.llm.textvec import _P, U64, mix
+
 #: Arrow batches are cut to about this many text bytes before numpy sees them.
 SLICE_BYTES = 2 << 20
 
@@ -21,11 +26,16 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; a default is set only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A fresh folder under ``spark.checkpoint.dir``, or under the context's checkpoint folder if that is unset.
+
+    With neither, a local master gets a folder under /tmp; on a cluster, where that would be a folder of each machine,
+    this raises.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "/tmp/spanloom-checkpoints"
-    if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/spanloom-{uuid.uuid4().hex}"
 
@@ -45,6 +55,121 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: What this worker keeps between tasks: owner -> how to let it go.
+CACHES: dict[str, Callable[[], None]] = {}
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release(owner: str | None = None) -> None:
+    """Let go of what other operators keep between tasks, and give freed memory back to the system."""
+    for name in [n for n in CACHES if n != owner]:
+        CACHES.pop(name)()
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def tidy(run: Callable, owner: str | None = None) -> Callable:
+    """``run`` for mapInArrow, with :func:`release` before and after: workers are reused by the tasks of other operators."""
+
+    def tidied(batches):
+        release(owner)
+        try:
+            yield from run(batches)
+        finally:
+            release(owner)
+
+    return tidied
+
+
+def share_of(h: np.ndarray, parts: int) -> np.ndarray:
+    """Which of ``parts`` equal ranges of 64-bit hashes each one lies in."""
+    return (((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int32)
+
+
+def bits_for(entries: int) -> int:
+    """log2 bits of a filter for so many entries: 16 bits an entry, 128 KiB to 16 MiB in all."""
+    return min(27, max(20, int(max(1, entries)).bit_length() + 4))
+
+
+def packed(arrays) -> list[pa.Array]:
+    return [pa.array([a.tobytes()], pa.binary()) for a in arrays]
+
+
+def bit_set(rows: DataFrame, numbers, bits: int) -> np.ndarray:
+    """Packed set of the hashes that ``numbers`` makes of a batch, by their upper bits: 2**bits bits whatever the input.
+
+    Tasks send only the parts of the set that they fill; these are joined by part before they come to the driver.
+    """
+    span = 1 << max(0, bits - 6 - 6)
+
+    def mark(batches):
+        out = np.zeros(1 << (bits - 6), U64)
+        for b in batches:
+            at = np.unique(numbers(b).view(U64) >> U64(64 - bits))
+            word = (at >> U64(6)).astype(np.int64)
+            if len(at):
+                start = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+                out[word[start]] |= np.bitwise_or.reduceat(U64(1) << (at & U64(63)), start)
+        for k in range(len(out) // span):
+            some = out[k * span : (k + 1) * span]
+            if some.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([some.tobytes()], pa.binary())], names=["k", "part"])
+
+    def join(batches):
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, part in zip(b.column("k").to_pylist(), b.column("part").to_pylist(), strict=True):
+                x = np.frombuffer(part, U64)
+                held[k] = held[k] | x if k in held else x
+        for k, x in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["k", "part"])
+
+    parts = rows.mapInArrow(tidy(mark), "k int, part binary").repartitionById(min(64, n_parts(rows.sparkSession)), "k").mapInArrow(tidy(join), "k int, part binary")
+    out = np.zeros(1 << (bits - 6), U64)
+    for r in parts.collect():
+        out[r.k * span : (r.k + 1) * span] = np.frombuffer(r.part, U64)
+    return out
+
+
+def in_set(packed_bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = h.view(U64) >> U64(64 - (len(packed_bits).bit_length() + 5))
+    return (packed_bits[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) > 0
+
+
+def place_name(doc_id: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """A hash of an occurrence, spread over all bits."""
+    return mix(doc_id.astype(np.int64).view(U64) * _P + line.astype(np.int64).view(U64))
+
+
+def with_base(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(doc_id, base, text of the rows with a doc_id; whether a doc_id is repeated).
+
+    ``base`` (0 but for a doc_id that is repeated) is to be added to places in a text (below 2**31): it sets the places
+    of rows that repeat a doc_id with other texts apart, in order of the texts' hashes.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
+    repeated = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    if repeated.isEmpty():
+        return docs.select("doc_id", F.lit(0).cast("long").alias("base"), "text"), False
+    spark, name = docs.sparkSession, F.xxhash64("text")
+    texts = docs.join(repeated, "doc_id", "left_semi").select("doc_id", name.alias("name")).distinct()
+    # places in a range partitioning, so that a doc_id with very many texts is numbered by many tasks
+    parts = n_parts(spark)
+    dealt = materialise(texts.repartitionByRange(parts, "doc_id", "name").sortWithinPartitions("doc_id", "name").withColumn("at", F.monotonically_increasing_id()))
+    step, sizes = F.shiftright("at", 33), {}
+    for r in dealt.groupBy(step.alias("s")).agg(F.count("*").alias("k")).collect():
+        sizes[r.s] = r.k
+    before, total = {}, 1
+    for s in sorted(sizes):
+        before[s] = total
+        total += sizes[s]
+    first = spark.createDataFrame(list(before.items()), "s long, first long")  # a row for each partition
+    place = F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("first")
+    base = dealt.join(F.broadcast(first), step == F.col("s")).select("doc_id", "name", F.shiftleft(place, 31).alias("base"))
+    return materialise(docs.withColumn("name", name).join(base, ["doc_id", "name"], "left").select("doc_id", F.coalesce("base", F.lit(0)).alias("base"), "text")), True
+
+
 def slices(batch: pa.RecordBatch, col: str, most: int = SLICE_BYTES):
     """Cut a batch into runs of rows whose ``col`` holds at most ``most`` bytes (one row at least)."""
     n = batch.num_rows

@@ -4,6 +4,11 @@ Lines are sets of words. Words are ordered by rarity over the whole corpus; two
 share a word within their prefixes, at places that leave room for the needed overlap, and have fitting lengths. A
 128-bit bitmap of each set bounds the overlap before the sets themselves are compared. A line goes if an earlier
 line (by doc_id, then line number) matches it.
+
+Words, lines and postings travel as packed arrays, one row for each share of the hashes and buffer of a task, so that
+a shuffle moves a few large rows. A share is gathered in a task that lets go of what it has settled: repeated lines
+are told apart as they come, and the postings of a word that is in very many prefixes leave in blocks of ``GROUP``,
+which later meet the lines that are still open, block by block, in all tasks.
 """
 
 from __future__ import annotations
@@ -15,41 +20,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import textvec as tv
-from spanloom.llm.common import materialise, most_frequent, n_parts, slices, table, whole_groups
+from spanloom.llm.common import bit_set, bits_for, in_set, materialise, n_parts, packed, place_name, share_of, slices, table, tidy, with_base
 
 SIMILARITY = 0.8
-#: Words whose exact counts order prefixes (rarer ones precede them all), and repeated lines known by heart to every task.
-RANKED_WORDS, KNOWN_LINES = 200_000, 50_000
-#: log2 bits of the set of words that occur in more than one line, and of the set of lines that a comparison asks for.
-SEEN_BITS = 25
+#: Words whose exact counts order prefixes; rarer ones precede them all.
+RANKED_WORDS = 200_000
 #: log2 slots of the table of ranks.
 RANK_BITS = 20
 #: Words up to which a line's bitmap has 64 bits, not 128.
 NARROW = 64
-#: Earlier candidates of a line that are verified at first; the rest follow for the lines that these leave open.
+#: Earlier candidates of a line by one word that are verified at first; the rest follow for the lines that these leave open.
 FIRST_TRIES = 3
-#: Further candidates of a line by one word that are written beside the first tries; where there are more, the word is looked up anew.
+#: Further candidates that are written beside the first tries; where there are more, the word's postings are.
 BESIDE = 60
+#: Postings of a word that are compared in one task; a word with more has several blocks.
+GROUP = 4096
+#: Entries that a task holds before it settles what it can, and pairs of postings that are compared at a time.
+HELD, PAIRS = 1 << 20, 1 << 18
 _SALT1, _SALT2 = tv.U64(0x1F83D9ABFB41BD6B), tv.U64(0x5BE0CD19137E2179)
+POSTING = {"word": np.uint64, "key": np.uint64, "doc": np.int64, "line": np.int64, "b1": np.uint64, "b2": np.uint64, "n": np.int32, "pos": np.int32}
+#: Kinds of packed rows of the survey.
+WORDS, LINES, AGAIN, STEPS, ROWS = range(5)
 
 
 class Lines:
-    """Lines of a slice of texts with their sorted distinct word hashes."""
+    """Lines of a slice of texts with their sorted distinct word hashes; ``base`` is added to a row's line numbers."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, base: np.ndarray | None = None):
         buf, off = tv.strings(texts)
         breaks = np.flatnonzero(buf == 10) + 1
         full = np.flatnonzero(np.diff(off) > 0)
         starts = np.union1d(off[full], breaks)
         starts = starts[starts < len(buf)]  # a break at a text's end starts no line
-        self.doc = np.searchsorted(off, starts, "right") - 1
-        ends = np.append(starts[1:], len(buf))
+        self.row = np.searchsorted(off, starts, "right") - 1
         w = tv.words(tv.fold(buf), np.append(starts, len(buf)) if len(starts) else np.zeros(1, np.int64))
         self.values, self.bounds = tv.unique_sets(w.row, w.hash, len(starts))
         self.n = np.diff(self.bounds)
-        first = np.searchsorted(self.doc, np.arange(len(off) - 1))
-        self.number = np.arange(len(starts)) - first[self.doc] if len(starts) else np.zeros(0, np.int64)
-        self.ends = ends
+        first = np.searchsorted(self.row, np.arange(len(off) - 1))
+        self.number = np.arange(len(starts)) - first[self.row] if len(starts) else np.zeros(0, np.int64)
+        if base is not None and len(starts):
+            self.number = self.number + base[self.row]
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         k1, k2 = np.zeros(len(self.n), tv.U64), np.zeros(len(self.n), tv.U64)
@@ -57,70 +67,129 @@ class Lines:
         if len(full):
             k1[full] = np.add.reduceat(tv.mix(self.values ^ _SALT1), self.bounds[full])
             k2[full] = np.add.reduceat(tv.mix(self.values ^ _SALT2), self.bounds[full])
-        return k1.view(np.int64), k2.view(np.int64)
+        return tv.mix(k1), k2
+
+
+def lines_of(b: pa.RecordBatch) -> tuple[Lines, np.ndarray]:
+    """Lines of a batch of (doc_id, base, text), and the doc_id of each."""
+    x = Lines(b.column("text"), b.column("base").to_numpy(zero_copy_only=False))
+    return x, b.column("doc_id").to_numpy(zero_copy_only=False)[x.row] if len(x.row) else np.zeros(0, np.int64)
 
 
 def overlap_needed(n: np.ndarray, m: np.ndarray, t: float) -> np.ndarray:
     return np.ceil(t / (1 + t) * (n + m) - 1e-9).astype(np.int64)
 
 
-def survey(docs: DataFrame) -> DataFrame:
-    """Lines (doc_id, line, n, k1, k2: the name of the set) and, with n = -1, words (k1) with the lines they occur in (k2)."""
+def told_apart(held: list[tuple]) -> tuple[tuple, tuple]:
+    """Of (k1, k2, doc, line): the first line of each set, and (doc, line) of the others that differ from it."""
+    k1, k2, doc, line = (np.concatenate(c) for c in zip(*held, strict=True))
+    by = np.lexsort((line, doc, k2, k1))
+    k1, k2, doc, line = k1[by], k2[by], doc[by], line[by]
+    first = np.ones(len(k1), bool)
+    first[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+    start = np.flatnonzero(first)
+    own = np.repeat(start, np.diff(np.append(start, len(k1))))
+    again = (doc != doc[own]) | (line != line[own])  # a row of documents may be repeated whole
+    return (k1[first], k2[first], doc[first], line[first]), (doc[again], line[again])
 
-    def run(batches):
-        held_w: list[np.ndarray] = []
-        held_n: list[np.ndarray] = []
-        held = 0
 
-        def words_out():
-            w, inverse = np.unique(np.concatenate(held_w), return_inverse=True)
-            n = np.bincount(inverse, np.concatenate(held_n)).astype(np.int64)
-            none = pa.nulls(len(w), pa.int64())
-            return pa.RecordBatch.from_arrays([none, pa.nulls(len(w), pa.int32()), pa.array(np.full(len(w), -1, np.int32)), pa.array(w.view(np.int64)), pa.array(n)], names=["doc_id", "line", "n", "k1", "k2"])
+def counted(held: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    word, inverse = np.unique(np.concatenate([w for w, _ in held]), return_inverse=True)
+    return word, np.bincount(inverse, np.concatenate([n for _, n in held]), minlength=len(word)).astype(np.int64)
 
-        for whole in batches:
-            for b in slices(whole, "text"):
-                x = Lines(b.column("text"))
-                k1, k2 = x.keys()
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(x.doc)), pa.array(x.number.astype(np.int32)), pa.array(x.n.astype(np.int32)), pa.array(k1), pa.array(k2)], names=["doc_id", "line", "n", "k1", "k2"])
-                w, n = np.unique(x.values, return_counts=True)
-                held_w.append(w)
-                held_n.append(n)
-                held += len(w)
-                if held > 2_000_000:
-                    yield words_out()
-                    held_w, held_n, held = [], [], 0
-        if held:
-            yield words_out()
 
-    return docs.mapInArrow(run, "doc_id long, line int, n int, k1 long, k2 long")
+def steps_of(df: np.ndarray) -> np.ndarray:
+    """Eighths of doublings."""
+    return np.floor(np.log2(df) * 8).astype(np.int64)
 
 
-def bit_set(numbers: DataFrame, bits: int) -> np.ndarray:
-    """Packed set of ``h`` (long) by its upper bits: 2**bits bits whatever the input."""
-    place = F.shiftrightunsigned("h", 64 - bits)
-    rows = numbers.select(F.shiftright(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - bits}) & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bit"))
-    got = rows.toArrow()
-    out = np.zeros(1 << (bits - 6), tv.U64)
-    out[got.column("word").to_numpy()] = got.column("bit").to_numpy().view(tv.U64)
-    return out
+def survey(docs: DataFrame, parts: int) -> DataFrame:
+    """kind, a, b, c: words that occur in several lines with their counts; lines that repeat a set; how many words a step
+    of counts has; rows (doc_id, base) with their number of lines."""
 
+    def read(batches):
+        words, lines, n_words, n_lines = [], [], 0, 0
 
-def in_set(packed: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
-    at = h.view(tv.U64) >> tv.U64(64 - bits)
-    return (packed[(at >> tv.U64(6)).astype(np.int64)] >> (at & tv.U64(63))) & tv.U64(1) > 0
+        def deal(kind, share, arrays):
+            cut = np.searchsorted(share, np.arange(parts + 1))
+            for s in np.flatnonzero(np.diff(cut)).tolist():
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([kind], pa.int32()), *packed(a[cut[s] : cut[s + 1]] for a in arrays), *(pa.nulls(1, pa.binary()) for _ in range(4 - len(arrays)))], names=["share", "kind", "a", "b", "c", "d"])
 
+        def words_out():
+            w, n = counted(words)
+            yield from deal(WORDS, share_of(w, parts), (w, n))
 
-def line_name(doc_id: np.ndarray, line: np.ndarray) -> np.ndarray:
-    """A hash of an occurrence, spread over all bits."""
-    return tv.mix(doc_id.astype(np.int64).view(tv.U64) * tv._P + line.astype(tv.U64)).view(np.int64)
+        def lines_out():
+            first, (doc, line) = told_apart(lines)
+            yield from deal(LINES, share_of(first[0], parts), first)
+            if len(doc):
+                yield pa.RecordBatch.from_arrays([pa.array([int(line[0]) % parts], pa.int32()), pa.array([AGAIN], pa.int32()), *packed((doc, line)), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary())], names=["share", "kind", "a", "b", "c", "d"])
+
+        for whole in batches:
+            for b in slices(whole, "text"):
+                x, doc = lines_of(b)
+                full = x.n > 0
+                k1, k2 = x.keys()
+                lines.append((k1[full], k2[full], doc[full], x.number[full]))
+                words.append(np.unique(x.values, return_counts=True))
+                n_lines += int(full.sum())
+                ids, base = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "base"))
+                rows = packed((ids, base, np.bincount(x.row, minlength=b.num_rows).astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([int(ids[0]) % parts], pa.int32()), pa.array([ROWS], pa.int32()), *rows, pa.nulls(1, pa.binary())], names=["share", "kind", "a", "b", "c", "d"])
+                n_words += len(words[-1][0])
+                if n_words > HELD:
+                    yield from words_out()
+                    words, n_words = [], 0
+                if n_lines > HELD // 2:
+                    yield from lines_out()
+                    lines, n_lines = [], 0
+        if words:
+            yield from words_out()
+            yield from lines_out()
+
+    def settle(batches):
+        words, lines, n_words, n_lines, most = [], [], 0, 0, 2 * HELD
+
+        def row(kind, *arrays):
+            return pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), *packed(arrays), *[pa.nulls(1, pa.binary())] * (3 - len(arrays))], names=["kind", "a", "b", "c"])
+
+        for batch in batches:
+            for kind, *blobs in zip(*(batch.column(c).to_pylist() for c in ("kind", "a", "b", "c", "d")), strict=True):
+                if kind == WORDS:
+                    words.append((np.frombuffer(blobs[0], tv.U64), np.frombuffer(blobs[1], np.int64)))
+                    n_words += len(words[-1][0])
+                elif kind == LINES:
+                    lines.append((*(np.frombuffer(x, tv.U64) for x in blobs[:2]), *(np.frombuffer(x, np.int64) for x in blobs[2:])))
+                    n_lines += len(lines[-1][0])
+                else:
+                    yield row(kind, *(np.frombuffer(x, np.int64) for x in blobs if x is not None))
+            if n_words > most:
+                words = [counted(words)]
+                n_words = len(words[0][0])
+            if n_lines > most:
+                first, again = told_apart(lines)
+                lines, n_lines = [first], len(first[0])
+                yield row(AGAIN, *again)
+            most = max(most, 2 * max(n_words, n_lines))
+        if words:
+            w, n = counted(words)
+            w, n = w[n > 1], n[n > 1]
+            step, count = np.unique(steps_of(n), return_counts=True)
+            yield row(STEPS, step, count)
+            for k in range(0, len(w), HELD):
+                yield row(WORDS, w[k : k + HELD], n[k : k + HELD])
+        if lines:
+            yield row(AGAIN, *told_apart(lines)[1])
+
+    told = docs.mapInArrow(tidy(read), "share int, kind int, a binary, b binary, c binary, d binary")
+    return told.repartitionById(parts, "share").mapInArrow(tidy(settle), "kind int, a binary, b binary, c binary")
 
 
 def rank_table(words: np.ndarray, df: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(tags, ranks) by a slot of the hash; of words that share a slot the most frequent keeps it, the others count as rare."""
     by = np.argsort(df, kind="stable")
     slot = (words[by] >> tv.U64(64 - RANK_BITS)).astype(np.int64)
-    tags, rank = np.zeros(1 << RANK_BITS, np.uint32), np.zeros(1 << RANK_BITS, np.int64)
+    tags, rank = np.zeros(1 << RANK_BITS, np.uint32), np.zeros(1 << RANK_BITS, np.int32)
     tags[slot] = words[by].astype(np.uint32)
     rank[slot] = np.minimum(df[by], 2**31 - 1)
     return tags, rank
@@ -131,29 +200,80 @@ def rank_of(tags: np.ndarray, rank: np.ndarray, v: np.ndarray) -> np.ndarray:
     return np.where(tags[slot] == v.astype(np.uint32), rank[slot], 0)
 
 
-def postings(docs: DataFrame, order: Broadcast, known: Broadcast, similarity: float, asked: Broadcast | None = None) -> DataFrame:
-    """word, doc_id, line, n, pos, b1, b2 of every prefix word that occurs elsewhere too (and is in the set ``asked``)."""
+def line_order(row: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Order by row and rank; equal ones stay as they are."""
+    start = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+    local = np.arange(len(row)) - np.repeat(start, np.diff(np.append(start, len(row))))
+    if row[-1] < 1 << 20 and local.max() < 1 << 16 and rank.max() < 1 << 28:
+        # no two are equal, so that any sort will do
+        return np.argsort((row.astype(tv.U64) << tv.U64(44)) | (rank.astype(tv.U64) << tv.U64(16)) | local.astype(tv.U64))
+    return np.lexsort((rank, row))
+
+
+def word_order(told: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The table of ranks, and the set of words that occur in more than one line."""
+    step = told.where(F.col("kind") == STEPS)
+
+    def counts(batches):
+        for b in batches:
+            for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)), pa.array(np.frombuffer(y, np.int64))], names=["step", "k"])
+
+    have, least, known = 0, 1 << 20, sorted(step.mapInArrow(counts, "step long, k long").groupBy("step").agg(F.sum("k").alias("k")).collect(), key=lambda r: -r.step)
+    for r in known:
+        have += r.k
+        if have > RANKED_WORDS:
+            break
+        least = r.step
+    words = told.where(F.col("kind") == WORDS).select("a", "b")
+
+    def frequent(batches):
+        for b in batches:
+            for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
+                w, n = np.frombuffer(x, tv.U64), np.frombuffer(y, np.int64)
+                on = steps_of(n) >= least
+                if on.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(w[on].view(np.int64)), pa.array(n[on])], names=["w", "n"])
+
+    def hashes(b):
+        return np.concatenate([np.zeros(0, tv.U64), *(np.frombuffer(x, tv.U64) for x in b.column("a").to_pylist())])
+
+    top = words.mapInArrow(frequent, "w long, n long").toArrow()
+    ranks = rank_table(top.column("w").to_numpy().view(tv.U64), top.column("n").to_numpy())
+    return (*ranks, bit_set(words, hashes, bits_for(sum(r.k for r in known))))
+
+
+def postings(docs: DataFrame, order: Broadcast, similarity: float, parts: int) -> DataFrame:
+    """share and packed columns of POSTING: every prefix word that occurs in another line too."""
 
     def run(batches):
         tags, rank, seen = order.value
-        k_key, k_doc, k_line, fresh = known.value
+        held, size = [], 0
+
+        def out():
+            cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+            by = np.argsort(cols[0], kind="stable")
+            cols = [c[by] for c in cols]
+            cut = np.searchsorted(share_of(cols[0], parts), np.arange(parts + 1))
+            for s in np.flatnonzero(np.diff(cut)).tolist():
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), *packed(c[cut[s] : cut[s + 1]] for c in cols)], names=["share", *POSTING])
+
         for whole in batches:
             for b in slices(whole, "text"):
-                x = Lines(b.column("text"))
-                doc = b.column("doc_id").to_numpy(zero_copy_only=False)[x.doc] if len(x.doc) else np.zeros(0, np.int64)
-                ask = x.n > 0
-                if len(doc):
-                    ask &= in_set(fresh, line_name(doc, x.number), SEEN_BITS)
-                if len(k_key) and len(doc):
-                    k1, _ = x.keys()
-                    at = np.minimum(np.searchsorted(k_key, k1), len(k_key) - 1)
-                    ask &= ~((k_key[at] == k1) & ~((k_doc[at] == doc) & (k_line[at] == x.number)))
+                x, doc = lines_of(b)
+                # of lines that repeat a set whole the first one is enough
+                k1, k2 = x.keys()
+                some = np.flatnonzero(x.n > 0)
+                by = some[np.lexsort((x.number[some], doc[some], k2[some], k1[some]))]
+                ask = np.zeros(len(x.n), bool)
+                if len(by):
+                    ask[by[np.concatenate(([True], (k1[by][1:] != k1[by][:-1]) | (k2[by][1:] != k2[by][:-1])))]] = True
                 keep = np.repeat(ask, x.n)
                 v, row = x.values[keep], np.repeat(np.arange(len(x.n)), x.n)[keep]
                 if not len(v):
                     continue
                 # words of a line are in order of their hashes already, which decides between equal ranks
-                by = np.argsort((row << 32) | rank_of(tags, rank, v), kind="stable")
+                by = line_order(row, rank_of(tags, rank, v))
                 v, row = v[by], row[by]
                 start = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
                 n = np.diff(np.append(start, len(row)))
@@ -165,24 +285,18 @@ def postings(docs: DataFrame, order: Broadcast, known: Broadcast, similarity: fl
                 line = np.repeat(np.arange(len(start)), n)
                 pos = np.arange(len(row)) - start[line]
                 prefix = n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1
-                on = (pos < prefix[line]) & in_set(seen, v, SEEN_BITS)
-                on = np.flatnonzero(on if asked is None else on & in_set(asked.value, v, SEEN_BITS))
+                on = np.flatnonzero(pos < prefix[line])
+                on = on[in_set(seen, v[on])]
                 own, line = row[on], line[on]
-                cols = (v[on].view(np.int64), doc[own], x.number[own].astype(np.int32), n[line].astype(np.int32), pos[on].astype(np.int32), b1[line].view(np.int64), b2[line].view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["word", "doc_id", "line", "n", "pos", "b1", "b2"])
-
-    return docs.mapInArrow(run, "word long, doc_id long, line int, n int, pos int, b1 long, b2 long")
-
-
-def fits(n, pos, b1, b2, i: np.ndarray, j: np.ndarray, t: float) -> np.ndarray:
-    """Whether lines i and j can reach the overlap if the word at these places is the first that they share.
+                held.append((v[on], k1[own], doc[own], x.number[own], b1[line], b2[line], n[line].astype(np.int32), pos[on].astype(np.int32)))
+                size += len(on)
+                if size > HELD:
+                    yield from out()
+                    held, size = [], 0
+        if held:
+            yield from out()
 
-    A later shared word needs no candidate of its own: the first one has made it.
-    """
-    need = overlap_needed(n[i], n[j], t)
-    ok = np.minimum(n[i], n[j]) >= t * np.maximum(n[i], n[j]) - 1e-9
-    ok &= np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need
-    return ok & (n[i] + n[j] - bits_apart(n, b1, b2, i, j) >= 2 * need)
+    return docs.mapInArrow(tidy(run), "share int, " + ", ".join(f"{c} binary" for c in POSTING))
 
 
 def bits_apart(n, b1, b2, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -193,98 +307,229 @@ def bits_apart(n, b1, b2, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.bitwise_count(one).astype(np.int64) + np.bitwise_count(np.where(fold, tv.U64(0), x2 ^ y2))
 
 
-def candidates(posts: DataFrame, similarity: float, parts: int, tries: int | None) -> DataFrame:
-    """a_doc, a_line, b_doc, b_line, d_docs, d_lines, word: pairs of a line and an earlier one.
-
-    With ``tries`` only the nearest so many by bitmap per word. The first pair of a line has the others that wait
-    beside it (d_docs, d_lines), or the ``word``, if they are more than ``BESIDE``.
+def earliest(word: np.ndarray, key: np.ndarray, doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Which postings no other of the same word and set comes before."""
+    keep = np.ones(len(word), bool)
+    name = tv.mix(word * tv._P + key)
+    by = np.argsort(name)
+    twin = name[by][1:] == name[by][:-1]
+    if twin.any():
+        some = np.zeros(len(by), bool)
+        some[1:] |= twin
+        some[:-1] |= twin
+        at = by[some]
+        at = at[np.lexsort((line[at], doc[at], key[at], word[at]))]
+        keep[at[1:][(word[at][1:] == word[at][:-1]) & (key[at][1:] == key[at][:-1])]] = False
+    return keep
+
+
+class Postings:
+    """Postings in order of (word, n, doc, line), one for each word and set."""
+
+    def __init__(self, held: list[tuple]):
+        cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+        keep = earliest(*cols[:4])
+        if not keep.all():
+            cols = [c[keep] for c in cols]
+        by = np.argsort(cols[0], kind="stable")
+        word = cols[0][by]
+        cut = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+        group = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(by))))
+        place = (group << 32) | cols[6][by]
+        by = by[np.lexsort((cols[3][by], cols[2][by], place))]
+        self.cols = [c[by] for c in cols]
+        self.word, self.key, self.doc, self.line, self.b1, self.b2, n, pos = self.cols
+        self.n, self.pos = n.astype(np.int64), pos.astype(np.int64)
+        self.cut = np.append(cut, len(by))
+
+    def take(self, keep: np.ndarray) -> tuple:
+        return tuple(c[keep] for c in self.cols)
+
+    def pairs(self, similarity: float, asked: np.ndarray | None = None):
+        """(i, j, bits apart): each line (of ``asked``) with all earlier ones of its word that fit, whole lines at a time.
+
+        Two lines fit if they can reach the overlap, given that this word is the first that they share: by what is
+        left of each after it, and by the bits in which their bitmaps differ. A later shared word needs no candidate.
+        """
+        if not len(self.word):
+            return
+        rest = self.n - self.pos
+        overlap = overlap_needed(np.arange(2 * int(self.n.max()) + 1), 0, similarity)
+        size = np.diff(self.cut)
+        group = np.repeat(np.arange(len(size)), size)
+        place = (group << 32) | self.n  # in order
+        low = np.searchsorted(place, (group << 32) | np.ceil(similarity * self.n - 1e-9).astype(np.int64))
+        same = np.searchsorted(place, place, "right")
+        high = np.searchsorted(place, (group << 32) | np.floor(self.n / similarity + 1e-9).astype(np.int64), "right")
+        here = np.arange(len(place))
+        count = (here - low) + (high - same)  # shorter ones, earlier ones of its length, longer ones
+        if asked is not None:
+            here = np.flatnonzero(asked)
+        done = np.cumsum(count[here])
+        at = 0
+        while at < len(here):
+            stop = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + PAIRS, "right")))
+            some = here[at:stop]
+            at = stop
+            c = count[some]
+            i = np.repeat(some, c)
+            if not len(i):
+                continue
+            j = np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c) + low[i]
+            j += np.where(j >= i, same[i] - i, 0)
+            need = overlap[self.n[i] + self.n[j]]
+            ok = (rest[j] >= need) & (rest[i] >= need)
+            i, j, need = i[ok], j[ok], need[ok]
+            a, b = self.doc[j], self.doc[i]
+            ok = (a < b) | ((a == b) & (self.line[j] < self.line[i]))
+            i, j, need = i[ok], j[ok], need[ok]
+            apart = bits_apart(self.n, self.b1, self.b2, i, j)
+            ok = self.n[i] + self.n[j] - apart >= 2 * need
+            if ok.any():
+                yield i[ok], j[ok], apart[ok]
+
+
+#: What a waiting line takes along, beside its place: the rest of its posting.
+OWN = {"key": "long", "b1": "long", "b2": "long", "n": "int", "pos": "int"}
+CANDIDATES = "a_doc long, a_line long, b_doc long, b_line long, d_docs array<long>, d_lines array<long>, word long, " + ", ".join(f"{c} {k}" for c, k in OWN.items()) + ", " + ", ".join(f"p_{c} binary" for c in POSTING)
+NAMES = ["a_doc", "a_line", "b_doc", "b_line", "d_docs", "d_lines", "word", *OWN, *(f"p_{c}" for c in POSTING)]
+
+
+def candidates(posts: DataFrame, similarity: float, parts: int, tries: int) -> DataFrame:
+    """a_doc, a_line, b_doc, b_line, d_docs, d_lines: pairs of a line and an earlier one, the nearest ``tries`` by bitmap for each word.
+
+    The first pair of a line has the others beside it (d_docs, d_lines). Where they are more than ``BESIDE``, or the
+    word has more than ``GROUP`` postings, that row (or one without b) has the ``word`` and the line's posting
+    instead, and a row without a line has a block of the word's postings (p_ columns).
     """
 
+    def row(p: Postings, a: np.ndarray, b, beside, ask: np.ndarray):
+        """Rows of the lines a with their partners b; those of ``ask`` with their posting."""
+        k = len(a)
+        pair = [pa.nulls(k, pa.int64())] * 2 if b is None else [pa.array(p.doc[b]), pa.array(p.line[b])]
+        lists = [pa.nulls(k, pa.list_(pa.int64()))] * 2 if beside is None else beside
+        own = [pa.array(c.view(np.int64) if c.dtype == tv.U64 else c, mask=~ask) for c in (p.word[a], p.key[a], p.b1[a], p.b2[a], p.n[a].astype(np.int32), p.pos[a].astype(np.int32))]
+        return pa.RecordBatch.from_arrays([pa.array(p.doc[a]), pa.array(p.line[a]), *pair, *lists, *own, *[pa.nulls(k, pa.binary())] * len(POSTING)], names=NAMES)
+
+    def block(p: Postings, low: int, high: int):
+        gone = [pa.nulls(1, pa.int64())] * 4 + [pa.nulls(1, pa.list_(pa.int64()))] * 2
+        own = [pa.nulls(1, pa.int64())] * 3 + [pa.nulls(1, pa.int32())] * 2
+        return pa.RecordBatch.from_arrays([*gone, pa.array(p.word[low : low + 1].view(np.int64)), *own, *packed(c[low:high] for c in p.cols)], names=NAMES)
+
+    def compare(p: Postings, large: set):
+        """Candidates within blocks; ``large``: words that have further blocks."""
+        size, wide = np.diff(p.cut), np.zeros(len(p.cut) - 1, bool)
+        group = np.repeat(np.arange(len(size)), size)
+        many = np.isin(p.word[p.cut[:-1]], np.asarray(sorted(large), tv.U64))
+        met = np.zeros(len(group), bool)
+        for i, j, apart in p.pairs(similarity):
+            by = np.lexsort((apart + np.abs(p.n[i] - p.n[j]), i))
+            i, j = i[by], j[by]
+            first = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))
+            count = np.diff(np.append(first, len(i)))
+            turn = np.arange(len(i)) - np.repeat(first, count)
+            each = np.repeat(count, count)
+            tried = turn < tries
+            hot = (each > tries + BESIDE) | many[group[i]]
+            wide[group[i[hot]]] = True
+            met[i] = True
+            d = j[~tried & ~hot]
+            waits = np.where(~hot & (turn == 0), np.maximum(each - tries, 0), 0)[tried]
+            beside = np.concatenate(([0], np.cumsum(waits)))
+            ask = (hot & (turn == 0))[tried]
+            yield row(p, i[tried], j[tried], [tv.list_array(p.doc[d], beside, pa.int64()), tv.list_array(p.line[d], beside, pa.int64())], ask)
+        alone = np.flatnonzero(many[group] & ~met)  # without a partner in this block, but there are others
+        if len(alone):
+            yield row(p, alone, None, None, np.ones(len(alone), bool))
+        for g in np.flatnonzero(wide | many).tolist():
+            yield block(p, int(p.cut[g]), int(p.cut[g + 1]))
+
     def run(batches):
-        for t in whole_groups(batches, "word"):
-            word, doc, line, n, pos = (t.column(c).to_numpy() for c in ("word", "doc_id", "line", "n", "pos"))
-            b1, b2 = (t.column(c).to_numpy().view(tv.U64) for c in ("b1", "b2"))
-            n, pos = n.astype(np.int64), pos.astype(np.int64)
-            cut = np.concatenate((np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))), [len(word)]))
-            size = np.diff(cut)
-            # every row against the earlier rows of its group, some rows of all groups at a time
-            start = np.repeat(cut[:-1], size)
-            before = np.arange(len(word)) - start
-            at = 0
-            done = np.cumsum(before)
-            while at < len(word):
-                stop = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + 2_000_000, "right")))
-                some = np.arange(at, stop)
-                at = stop
-                i = np.repeat(some, before[some])
-                if not len(i):
-                    continue
-                j = np.arange(len(i)) - np.repeat(np.cumsum(before[some]) - before[some], before[some]) + start[i]
-                ok = fits(n, pos, b1, b2, i, j, similarity) & ((doc[i] != doc[j]) | (line[i] != line[j]))
-                i, j = i[ok], j[ok]
-                if not len(i):
-                    continue
-                beside = np.zeros(len(i) + 1, np.int64)
-                d = np.zeros(0, np.int64)
-                hot = np.zeros(len(i), bool)
-                if tries is not None:
-                    apart = bits_apart(n, b1, b2, i, j) + np.abs(n[i] - n[j])
-                    by = np.lexsort((j, apart, i))
-                    i, j = i[by], j[by]
-                    first = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))
-                    count = np.diff(np.append(first, len(i)))
-                    turn = np.arange(len(i)) - np.repeat(first, count)
-                    each = np.repeat(count, count)
-                    tried = turn < tries
-                    d = j[~tried & (each <= tries + BESIDE)]
-                    waits = np.where((each <= tries + BESIDE) & (turn == 0), np.maximum(each - tries, 0), 0)[tried]
-                    beside = np.concatenate(([0], np.cumsum(waits)))
-                    hot = ((each > tries + BESIDE) & (turn == 0))[tried]
-                    i, j = i[tried], j[tried]
-                cols = [pa.array(doc[i]), pa.array(line[i]), pa.array(doc[j]), pa.array(line[j]), tv.list_array(doc[d], beside, pa.int64()), tv.list_array(line[d], beside, pa.int32()), pa.array(word[i], mask=~hot)]
-                yield pa.RecordBatch.from_arrays(cols, names=["a_doc", "a_line", "b_doc", "b_line", "d_docs", "d_lines", "word"])
-
-    dealt = posts.repartition(parts, "word").sortWithinPartitions("word", "doc_id", "line")
-    return dealt.mapInArrow(run, "a_doc long, a_line int, b_doc long, b_line int, d_docs array<long>, d_lines array<int>, word long")
+        held, size, large, most = [], 0, set(), 2 * HELD
+        for batch in batches:
+            for blobs in zip(*(batch.column(c).to_pylist() for c in POSTING), strict=True):
+                held.append(tuple(np.frombuffer(x, kind) for x, kind in zip(blobs, POSTING.values(), strict=True)))
+                size += len(held[-1][0])
+            if size > most:
+                # full blocks of words with very many postings leave
+                p = Postings(held)
+                own = np.repeat(np.diff(p.cut), np.diff(p.cut))
+                turn = np.arange(len(own)) - np.repeat(p.cut[:-1], np.diff(p.cut))
+                leave = turn < own // GROUP * GROUP
+                if leave.any():
+                    part = turn[leave] // GROUP
+                    cols = p.take(leave)
+                    large.update(np.unique(cols[0]).tolist())
+                    for k in range(int(part.max()) + 1):
+                        yield from compare(Postings([tuple(c[part == k] for c in cols)]), large)
+                held = [p.take(~leave)]
+                size = len(held[0][0])
+                most = max(most, 2 * size)
+        if held:
+            p = Postings(held)
+            size = np.diff(p.cut)
+            large.update(p.word[p.cut[:-1][size > GROUP]].tolist())
+            turn = (np.arange(len(p.word)) - np.repeat(p.cut[:-1], size)) // GROUP
+            for k in range(int(turn.max()) + 1 if len(turn) else 0):
+                yield from compare(Postings([p.take(turn == k)]) if turn.max() else p, large)
+
+    return posts.repartitionById(parts, "share").mapInArrow(tidy(run), CANDIDATES)
+
+
+def open_pairs(blocks: DataFrame, waiting: DataFrame, similarity: float) -> DataFrame:
+    """a_doc, a_line, b_doc, b_line: the waiting lines (a_doc, a_line, word and the rest of their postings) with all
+    earlier ones of the word's blocks that fit. Chunks of lines meet blocks; only what fits becomes a row."""
+    count = waiting.groupBy("word").agg(F.count("*").alias("count"))
+    chunk = F.pmod(F.xxhash64("a_doc", "a_line"), F.ceil(F.col("count") / GROUP))
+    columns = {"key": "key", "doc": "a_doc", "line": "a_line", "b1": "b1", "b2": "b2", "n": "n", "pos": "pos"}
+    asked = waiting.join(count, "word").groupBy("word", chunk.alias("chunk")).agg(F.collect_list(F.struct(*(F.col(c).alias(k) for k, c in columns.items()))).alias("lines"))
+
+    def run(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                x = tuple(np.frombuffer(b.column(f"p_{c}")[r].as_buffer(), kind) for c, kind in POSTING.items())
+                lines = b.column("lines")[r].values
+                own = {c: lines.field(c).to_numpy(zero_copy_only=False) for c in columns}
+                own["word"] = np.full(len(lines), x[0][0])
+                both = Postings([tuple(np.ascontiguousarray(own[c]).view(kind) if kind is np.uint64 else own[c].astype(kind) for c, kind in POSTING.items()), x])
+                mine = np.isin(place_name(both.doc, both.line), place_name(own["doc"], own["line"]))
+                for i, j, _ in both.pairs(similarity, mine):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (both.doc[i], both.line[i], both.doc[j], both.line[j])], names=["a_doc", "a_line", "b_doc", "b_line"])
+
+    return asked.join(blocks, "word").mapInArrow(tidy(run), "a_doc long, a_line long, b_doc long, b_line long").distinct()
 
 
 def verify(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """The distinct (doc_id, line) that match one of their partners exactly."""
     spark = docs.sparkSession
+    size = pairs.count()
 
-    def name(side: str):
-        return F.struct(F.col(f"{side}_doc").alias("d"), F.col(f"{side}_line").alias("l"))
+    def lines(b):
+        d, n = (np.concatenate([b.column(f"{s}_{c}").to_numpy() for s in "ab"]) for c in ("doc", "line"))
+        return place_name(d, n)
 
-    sides = pairs.select(name("a").alias("s")).unionByName(pairs.select(name("b").alias("s"))).distinct().select("s.d", "s.l")
+    def documents(b):
+        d = np.concatenate([b.column(f"{s}_doc").to_numpy() for s in "ab"])
+        return place_name(d, np.zeros(len(d)))
 
-    def names(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(line_name(b.column("d").to_numpy(), b.column("l").to_numpy()))], names=["h"])
-
-    def documents(batches):
-        for b in batches:
-            d = b.column("d").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(line_name(d, np.zeros(len(d))))], names=["h"])
-
-    sides = materialise(sides)
-    wanted = spark.sparkContext.broadcast(bit_set(sides.mapInArrow(names, "h long"), SEEN_BITS))
-    holders = spark.sparkContext.broadcast(bit_set(sides.select("d").distinct().mapInArrow(documents, "h long"), SEEN_BITS))
+    bits = bits_for(2 * size)
+    filters = spark.sparkContext.broadcast((bit_set(pairs, lines, bits), bit_set(pairs, documents, bits)))
 
     def sets(batches):
+        wanted, holders = filters.value
         for whole in batches:
             d = whole.column("doc_id").to_numpy(zero_copy_only=False)
-            whole = whole.filter(pa.array(in_set(holders.value, line_name(d, np.zeros(len(d))), SEEN_BITS)))
+            whole = whole.filter(pa.array(in_set(holders, place_name(d, np.zeros(len(d))))))
             for b in slices(whole, "text"):
-                x = Lines(b.column("text"))
+                x, doc = lines_of(b)
                 if not len(x.n):
                     continue
-                doc = b.column("doc_id").to_numpy(zero_copy_only=False)[x.doc]
-                on = np.flatnonzero(in_set(wanted.value, line_name(doc, x.number), SEEN_BITS) & (x.n > 0))
+                on = np.flatnonzero(in_set(wanted, place_name(doc, x.number)) & (x.n > 0))
                 raw, cut = x.values.tobytes(), (x.bounds * 8).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(doc[on]), pa.array(x.number[on].astype(np.int32)), pa.array([raw[cut[k] : cut[k + 1]] for k in on.tolist()], pa.binary())], names=["d", "l", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[on]), pa.array(x.number[on]), pa.array([raw[cut[k] : cut[k + 1]] for k in on.tolist()], pa.binary())], names=["d", "l", "words"])
 
-    # a repeated row of documents would give a set twice
-    words = docs.mapInArrow(sets, "d long, l int, words binary")
+    # a repeated row of documents would give a set twice, which changes nothing
+    words = docs.mapInArrow(tidy(sets), "d long, l long, words binary")
     left = pairs.join(words.select(F.col("d").alias("a_doc"), F.col("l").alias("a_line"), F.col("words").alias("x")), ["a_doc", "a_line"])
     both = left.join(words.select(F.col("d").alias("b_doc"), F.col("l").alias("b_line"), F.col("words").alias("y")), ["b_doc", "b_line"])
 
@@ -299,88 +544,106 @@ def verify(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
                 keep[k] = same >= similarity * (len(p) + len(q) - same) - 1e-9
             yield pa.RecordBatch.from_arrays([b.column("a_doc"), b.column("a_line")], names=["doc_id", "line"]).filter(pa.array(keep))
 
-    return both.select("a_doc", "a_line", "x", "y").mapInArrow(compare, "doc_id long, line int").distinct()
+    return both.select("a_doc", "a_line", "x", "y").mapInArrow(tidy(compare), "doc_id long, line long").distinct()
 
 
 def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(lines, removed): doc_id and n_lines of each document that has lines, and the (doc_id, line) that match an earlier line.
+    """(rows, removed): rows are doc_id, base, n_lines; removed the (doc_id, line) that match an earlier line.
 
-    A line without words matches nothing; rows with a null doc_id take no part. Of rows that repeat a doc_id the
-    lines are told apart by number alone, so that equal rows lose the same lines.
+    ``line`` counts from the row's ``base``. A line without words matches nothing; rows with a null doc_id take no
+    part. Rows that repeat a doc_id with another text follow each other in order of the texts' hashes and keep their
+    lines apart; rows that repeat doc_id and text are one, so that each of them loses the same lines.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    told = materialise(survey(docs))
-    lines = told.where("n >= 0")
-    words = told.where("n = -1").groupBy("k1").agg(F.sum("k2").alias("df")).where("df > 1")
-    words = materialise(words)
-    top = most_frequent(words, "df", RANKED_WORDS).toArrow()
-    ranks = rank_table(top.column("k1").to_numpy().view(tv.U64), top.column("df").to_numpy())
-    order = spark.sparkContext.broadcast((*ranks, bit_set(words.select(F.col("k1").alias("h")), SEEN_BITS)))
-
-    at = F.struct("doc_id", "line")
-    classes = materialise(lines.where("n > 0").groupBy("k1", "k2").agg(F.min(at).alias("first"), F.count("*").alias("w")).where("w > 1").select("k1", "k2", "w", F.col("first.doc_id").alias("f_doc"), F.col("first.line").alias("f_line")))
-    twin = F.col("f_doc").isNotNull() & ((F.col("doc_id") != F.col("f_doc")) | (F.col("line") != F.col("f_line")))
-    status = materialise(lines.where("n > 0").join(classes, ["k1", "k2"], "left").select("doc_id", "line", twin.alias("again")))
-    again = status.where("again").select("doc_id", "line")
-
-    def names(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(line_name(b.column("doc_id").to_numpy(), b.column("line").to_numpy()))], names=["h"])
+    return settled(with_base(docs)[0], similarity)
 
-    # lines that repeat a set whole are settled: tasks skip those that this set shows to be no first ones, and the most frequent for sure
-    fresh = bit_set(status.where("NOT again").select("doc_id", "line").mapInArrow(names, "h long"), SEEN_BITS)
-    often = most_frequent(classes.where("w > 3"), "w", KNOWN_LINES).toArrow()
-    k = often.column("k1").to_numpy()
-    by = np.argsort(k, kind="stable")
-    known = spark.sparkContext.broadcast((k[by], often.column("f_doc").to_numpy()[by], often.column("f_line").to_numpy()[by], fresh))
 
+def settled(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """As :func:`repeated_lines`, of rows with a base."""
+    spark = docs.sparkSession
     parts = n_parts(spark)
-    near = materialise(candidates(postings(docs, order, known, similarity), similarity, parts, FIRST_TRIES))
-    pairs = near.select("a_doc", "a_line", "b_doc", "b_line").distinct()
-    first = materialise(verify(docs, pairs, similarity))
+    told = materialise(survey(docs, parts))
+    order = spark.sparkContext.broadcast(word_order(told))
+
+    def flat(names: list[str]):
+        def run(batches):
+            for b in batches:
+                for blobs in zip(*(b.column(c).to_pylist() for c in "abc"[: len(names)]), strict=True):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)) for x in blobs], names=names)
+
+        return run
+
+    again = told.where(F.col("kind") == AGAIN).select("a", "b").mapInArrow(flat(["doc_id", "line"]), "doc_id long, line long")
+    rows = told.where(F.col("kind") == ROWS).select("a", "b", "c").mapInArrow(flat(["doc_id", "base", "n_lines"]), "doc_id long, base long, n_lines long")
+    near = materialise(candidates(postings(docs, order, similarity, parts), similarity, parts, FIRST_TRIES))
+    order.unpersist()
+    pair = ["a_doc", "a_line", "b_doc", "b_line"]
+    first = materialise(verify(docs, materialise(near.where("b_doc IS NOT NULL").select(*pair).distinct()), similarity))
     removed = again.unionByName(first)
 
+    # the exact rest, for lines that the first tries left open: the candidates written beside them, and the blocks of words that had too many
     def still_open(rows: DataFrame) -> DataFrame:
         rows = rows.withColumnsRenamed({"a_doc": "doc_id", "a_line": "line"})
-        return materialise(rows.join(first, ["doc_id", "line"], "left_anti").withColumnsRenamed({"doc_id": "a_doc", "line": "a_line"}))
+        return rows.join(first, ["doc_id", "line"], "left_anti").withColumnsRenamed({"doc_id": "a_doc", "line": "a_line"})
 
-    # the exact rest, for lines that the first tries left open: the candidates written beside them ...
-    waiting = still_open(near.where(F.size("d_docs") > 0).select("a_doc", "a_line", "d_docs", "d_lines"))
+    beside = still_open(near.where(F.size("d_docs") > 0).select("a_doc", "a_line", "d_docs", "d_lines"))
+    rest = beside.select("a_doc", "a_line", F.explode(F.arrays_zip("d_docs", "d_lines")).alias("d")).select("a_doc", "a_line", F.col("d.d_docs").alias("b_doc"), F.col("d.d_lines").alias("b_line"))
+    waiting = materialise(still_open(near.where("word IS NOT NULL AND a_doc IS NOT NULL").select("a_doc", "a_line", "word", *OWN)))
     if not waiting.isEmpty():
-        rest = waiting.select("a_doc", "a_line", F.explode(F.arrays_zip("d_docs", "d_lines")).alias("d")).select("a_doc", "a_line", F.col("d.d_docs").alias("b_doc"), F.col("d.d_lines").alias("b_line")).distinct()
-        removed = removed.unionByName(verify(docs, materialise(rest), similarity))
-    # ... and all earlier lines with the words that held too many to write
-    waiting = still_open(near.where("word IS NOT NULL").select("a_doc", "a_line", "word"))
-    if not waiting.isEmpty():
-        asked = spark.sparkContext.broadcast(bit_set(waiting.select(F.col("word").alias("h")).distinct(), SEEN_BITS))
-        rest = candidates(postings(docs, order, known, similarity, asked), similarity, parts, None).select("a_doc", "a_line", "b_doc", "b_line")
-        rest = rest.join(waiting.select("a_doc", "a_line").distinct(), ["a_doc", "a_line"]).distinct()
-        removed = removed.unionByName(verify(docs, materialise(rest), similarity))
-    return lines.groupBy("doc_id").agg((F.max("line") + 1).alias("n_lines")), removed.distinct()
+        blocks = near.where("a_doc IS NULL").select("word", *(f"p_{c}" for c in POSTING))
+        rest = rest.unionByName(open_pairs(blocks, waiting, similarity))
+    rest = materialise(rest.distinct())
+    if not rest.isEmpty():
+        removed = removed.unionByName(verify(docs, rest, similarity))
+    return rows, removed.distinct()
+
+
+def removed_of_rows(removed: DataFrame) -> DataFrame:
+    """doc_id, base, gone: line numbers, ascending, that each row (a repeated one once) loses."""
+    start = F.shiftleft(F.shiftright("line", 31), 31)
+    return removed.select("doc_id", start.alias("base"), (F.col("line") - start).cast("int").alias("line")).groupBy("doc_id", "base").agg(F.sort_array(F.collect_list("line")).alias("gone"))
 
 
 def remove_repeated_lines(docs: DataFrame, similarity: float = SIMILARITY, drop_emptied: bool = True) -> DataFrame:
     """docs without their repeated lines, all columns kept (``n_chars``, if there, follows the text).
 
-    Documents that lose every line with words go if ``drop_emptied``; documents that were empty before stay.
+    Documents that lose every line with words go if ``drop_emptied``; documents that were empty before stay, as do
+    rows with a null doc_id. Columns named as this function's own are safe: it works on positions of its own structs.
     """
-    _, removed = repeated_lines(docs, similarity)
-    gone = removed.groupBy("doc_id").agg(F.collect_list("line").alias("__gone"))
-    cut = F.split("text", "\n", -1)
-    kept = F.array_join(F.filter(cut, lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    out = docs.join(gone, "doc_id", "left").withColumn("text", F.when(F.col("__gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(kept))
+    based, repeated = with_base(docs)
+    gone = removed_of_rows(settled(based, similarity)[1]).withColumnRenamed("doc_id", "id")
+    held = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    if repeated:
+        several = based.where("base > 0").select(F.col("doc_id").alias("id"), "base", F.xxhash64("text").alias("name")).distinct()
+        held = held.withColumn("name", F.xxhash64("row.text")).join(several, ["id", "name"], "left").drop("name")
+    else:
+        held = held.withColumn("base", F.lit(0))
+    held = held.withColumn("base", F.coalesce("base", F.lit(0)).cast("long")).join(gone, ["id", "base"], "left")
+    text = F.col("row.text")
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
+    out = held.withColumn("left", F.when(F.col("gone").isNull() | text.isNull(), text).otherwise(kept))
     if drop_emptied:
-        out = out.where(F.col("__gone").isNull() | F.col("text").isNull() | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        out = out.where(F.col("gone").isNull() | text.isNull() | (F.trim(F.regexp_replace("left", r"\s+", " ")) != ""))
+
+    def column(f):
+        if f.name == "text":
+            return F.col("left").alias("text")
+        own = F.col("row").getField(f.name)
+        if f.name == "n_chars":
+            own = F.when(F.col("gone").isNull(), own).otherwise(F.length("left").cast(f.dataType))
+        return own.alias(f.name)
+
+    return out.select(*(column(f) for f in docs.schema))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, n_lines, n_removed, removed (line numbers from 0, ascending)."""
+    """Per document: doc_id, n_lines, n_removed, removed (line numbers from 0, ascending, joined by commas).
+
+    A null or empty text has no lines; a null doc_id loses none.
+    """
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    lines, removed = repeated_lines(docs)
-    gone = removed.groupBy("doc_id").agg(F.sort_array(F.collect_list("line")).alias("removed"))
-    out = docs.select("doc_id").join(lines, "doc_id", "left").join(gone, "doc_id", "left")
-    return out.select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"), F.coalesce(F.array_join(F.col("removed").cast("array<string>"), ","), F.lit("")).alias("removed"))
+    rows, removed = repeated_lines(docs)
+    out = rows.join(removed_of_rows(removed), ["doc_id", "base"], "left").select("doc_id", "n_lines", "gone")
+    breaks = F.size(F.split("text", "\n", -1)) - F.endswith("text", F.lit("\n")).cast("int")
+    no_id = F.when(F.col("text").isNull() | (F.col("text") == ""), 0).otherwise(breaks).cast("long")
+    out = out.unionByName(docs.where("doc_id IS NULL").select(F.lit(None).cast("long").alias("doc_id"), no_id.alias("n_lines"), F.lit(None).cast("array<int>").alias("gone")))
+    return out.select("doc_id", "n_lines", F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).alias("n_removed"), F.coalesce(F.array_join(F.col("gone").cast("array<string>"), ","), F.lit("")).alias("removed"))

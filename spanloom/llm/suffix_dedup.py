@@ -6,8 +6,8 @@ equal places. Windows that share an anchor and lie side by side form a context.
 as a whole; one whose anchor occurs nowhere else cannot repeat at all; what is left, contexts that share an anchor
 but differ, goes to the tasks by anchor. There a suffix array is built by the difference-cover algorithm (sort
 sampled triples, recurse on their names, sort the remaining suffixes by them, merge) and the 400-byte prefixes of
-neighbours are compared. Anchors with very many different contexts are not gathered: the hashes of their windows are
-dealt over all tasks and counted there.
+neighbours are compared byte by byte. Anchors with very many different contexts are not gathered: 128-bit hashes of
+their windows are dealt over all tasks and counted there.
 """
 
 from __future__ import annotations
@@ -20,15 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import textvec as tv
-from spanloom.llm.common import materialise, n_parts, slices, table, whole_groups
-from spanloom.llm.line_dedup import bit_set, in_set, line_name
+from spanloom.llm.common import bit_set, bits_for, in_set, materialise, n_parts, place_name, slices, table, tidy, whole_groups, with_base
 
 LENGTH, GRAM = 400, 64
 #: Different contexts of an anchor beyond which its windows are dealt by hash.
 HOT_CONTEXTS = 2000
 #: Context bytes whose suffixes are sorted together.
 SORT_BYTES = 1 << 20
-SET_BITS = 25
 
 
 # --- suffix arrays ---------------------------------------------------------------------------------------------
@@ -84,6 +82,47 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     return out
 
 
+def eight_bytes(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as one number (fewer places than bytes: the last seven have none)."""
+    x = raw.astype(tv.U64)
+    x = x[:-1] | (x[1:] << tv.U64(8))
+    x = x[:-2] | (x[2:] << tv.U64(16))
+    return x[:-4] | (x[4:] << tv.U64(32))
+
+
+def common_prefixes(text: np.ndarray, sa: np.ndarray, length: int) -> np.ndarray:
+    """Whether each suffix but the first shares its first ``length`` bytes with the one before it in sorted order.
+
+    A few places tell most neighbours apart. What is left is compared in whole: neighbours that go on side by side
+    lie on one diagonal of the text, whose equal bytes are counted once for all of them.
+    """
+    raw = np.append(text, np.full(length + 8, 257)) & 0xFF
+    eight = eight_bytes(raw)
+    a, b = sa[:-1], sa[1:]
+    same = np.ones(len(a), bool)
+    for at in (0, length - 8, length // 2):
+        on = np.flatnonzero(same)
+        same[on] = eight[a[on] + at] == eight[b[on] + at]
+    on = np.flatnonzero(same)
+    if not len(on):
+        return same
+    on = on[np.argsort(b[on], kind="stable")]
+    i, apart = b[on], a[on] - b[on]
+    new = np.concatenate(([True], (i[1:] != i[:-1] + 1) | (apart[1:] != apart[:-1])))
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(on)))
+    # equal bytes on the diagonal of each stretch, from its first place to length bytes after its last
+    span = size + length - 1
+    start = np.concatenate(([0], np.cumsum(span)))
+    place = np.arange(start[-1]) - np.repeat(start[:-1], span) + np.repeat(i[first], span)
+    other = place + np.repeat(apart[first], span)
+    padded = np.append(text, np.full(length + 8, 256))
+    differ = np.concatenate(([0], np.cumsum((padded[place] != padded[other]) | (padded[place] == 256))))
+    here = np.arange(len(on)) - np.repeat(first, size) + np.repeat(start[:-1], size)
+    same[on] = differ[here + length] == differ[here]
+    return same
+
+
 def repeated_windows(contexts: list[bytes], windows: list[int], length: int = LENGTH) -> list[np.ndarray]:
     """For each context which of its first so many windows occur as a window of any other place among them all."""
     size = np.asarray([len(c) for c in contexts])
@@ -95,9 +134,7 @@ def repeated_windows(contexts: list[bytes], windows: list[int], length: int = LE
         own[s : s + n] = True
     sa = suffix_array(text)
     sa = sa[own[sa]]
-    hashes = window_hashes(text.astype(np.uint16).view(np.uint8), 2 * length)[::2]
-    h = hashes[sa]
-    same = h[1:] == h[:-1]
+    same = common_prefixes(text, sa, length)
     hit = np.zeros(len(text), bool)
     hit[sa[1:][same]] = True
     hit[sa[:-1][same]] = True
@@ -107,10 +144,14 @@ def repeated_windows(contexts: list[bytes], windows: list[int], length: int = LE
 # --- anchors ---------------------------------------------------------------------------------------------------
 
 
-def prefix_sums(buf: np.ndarray) -> np.ndarray:
+#: A number for each byte, for a second hash that is independent of the first.
+SECOND = np.random.RandomState(8).randint(1, 2**63 - 1, 256, dtype=np.int64).astype(tv.U64)
+
+
+def prefix_sums(buf: np.ndarray, numbers: np.ndarray = tv._BYTE) -> np.ndarray:
     up, _ = tv.place_powers(len(buf))
     out = np.zeros(len(buf) + 1, tv.U64)
-    np.cumsum(tv._BYTE[buf] * up[: len(buf)], out=out[1:])
+    np.cumsum(numbers[buf] * up[: len(buf)], out=out[1:])
     return out
 
 
@@ -175,16 +216,17 @@ def anchors(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def survey(docs: DataFrame) -> DataFrame:
-    """doc_id, low, high (windows, as places in the text), anchor, context of every context."""
+    """doc_id, low, high (windows, as places in the text from its base on), anchor, context of every context."""
 
     def run(batches):
         for whole in batches:
             for b in slices(whole, "text"):
                 buf, off = tv.strings(b.column("text"))
                 row, low, high, anchor, context, _ = anchors(buf, off)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), pa.array(low - off[row]), pa.array(high - off[row]), pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64))], names=["doc_id", "low", "high", "anchor", "context"])
+                local = b.column("base").to_numpy(zero_copy_only=False)[row] - off[row]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(row)), pa.array(low + local), pa.array(high + local), pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64))], names=["doc_id", "low", "high", "anchor", "context"])
 
-    return docs.mapInArrow(run, "doc_id long, low long, high long, anchor long, context long")
+    return docs.mapInArrow(tidy(run), "doc_id long, low long, high long, anchor long, context long")
 
 
 RUNS = "doc_id long, low long, high long"
@@ -200,19 +242,24 @@ def solve(docs: DataFrame, open_contexts: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = n_parts(spark)
 
-    def names(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(line_name(b.column("doc_id").to_numpy(), b.column("low").to_numpy()))], names=["h"])
+    def places(b):
+        return place_name(b.column("doc_id").to_numpy(), b.column("low").to_numpy())
+
+    def names_of(b):
+        return b.column("anchor").to_numpy().view(tv.U64)
 
-    wanted = spark.sparkContext.broadcast(bit_set(open_contexts.select("doc_id", "low").mapInArrow(names, "h long"), SET_BITS))
-    hot = spark.sparkContext.broadcast(bit_set(open_contexts.where(F.col("kinds") > HOT_CONTEXTS).select(F.col("anchor").alias("h")).distinct(), SET_BITS))
+    bits = bits_for(open_contexts.count())
+    wanted = spark.sparkContext.broadcast(bit_set(open_contexts.select("doc_id", "low"), places, bits))
+    hot = spark.sparkContext.broadcast(bit_set(open_contexts.where(F.col("kinds") > HOT_CONTEXTS).select("anchor").distinct(), names_of, bits))
 
     def found(b, want_hot: bool):
         buf, off = tv.strings(b.column("text"))
         row, low, high, anchor, _, sums = anchors(buf, off)
-        doc = b.column("doc_id").to_numpy(zero_copy_only=False)[row] if len(row) else row
-        on = np.flatnonzero(in_set(wanted.value, line_name(doc, low - off[row]), SET_BITS) & (in_set(hot.value, anchor.view(np.int64), SET_BITS) == want_hot)) if len(row) else row
-        return buf, low[on] - off[row[on]], low[on], high[on], anchor[on], doc[on], sums
+        none = np.zeros(0, np.int64)
+        doc = b.column("doc_id").to_numpy(zero_copy_only=False)[row] if len(row) else none
+        local = low + (b.column("base").to_numpy(zero_copy_only=False)[row] - off[row]) if len(row) else none
+        on = np.flatnonzero(in_set(wanted.value, place_name(doc, local)) & (in_set(hot.value, anchor) == want_hot)) if len(row) else none
+        return buf, local[on], low[on], high[on], anchor[on], doc[on], sums
 
     def ship(batches):
         for whole in batches:
@@ -247,7 +294,7 @@ def solve(docs: DataFrame, open_contexts: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    ordinary = docs.mapInArrow(ship, "anchor long, doc_id long, low long, windows int, body binary").repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(sort, RUNS)
+    ordinary = docs.mapInArrow(tidy(ship), "anchor long, doc_id long, low long, windows int, body binary").repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(tidy(sort), RUNS)
     if open_contexts.where(F.col("kinds") > HOT_CONTEXTS).isEmpty():
         return ordinary
 
@@ -255,38 +302,43 @@ def solve(docs: DataFrame, open_contexts: DataFrame) -> DataFrame:
         """Window hashes of hot anchors, a row for each share of a slice."""
         for whole in batches:
             for b in slices(whole, "text"):
-                _, local, low, high, _, doc, sums = found(b, True)
+                buf, local, low, high, _, doc, sums = found(b, True)
                 if not len(low):
                     continue
+                other = prefix_sums(buf, SECOND)
                 n = high - low + 1
                 shift = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 at = np.repeat(low, n) + shift
-                h, doc, place = span_hash(sums, at, at + LENGTH), np.repeat(doc, n), np.repeat(local, n) + shift
+                h, h2, doc, place = span_hash(sums, at, at + LENGTH), span_hash(other, at, at + LENGTH), np.repeat(doc, n), np.repeat(local, n) + shift
                 share = (h % tv.U64(parts)).astype(np.int64)
                 by = np.argsort(share, kind="stable")
                 cut = np.searchsorted(share[by], np.arange(parts + 1))
                 some = [(k, by[a:z]) for k, (a, z) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if z > a]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int32()), *(pa.array([v[i].astype(np.int64).tobytes() if v is not h else v[i].tobytes() for _, i in some], pa.binary()) for v in (h, doc, place))], names=["share", "hashes", "docs", "places"])
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int32()), *(pa.array([v[i].tobytes() for _, i in some], pa.binary()) for v in (h, h2, doc.astype(np.int64), place.astype(np.int64)))], names=["share", "hashes", "seconds", "docs", "places"])
 
     def count(batches):
         for t in whole_groups(batches, "share"):
-            h, doc, place = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.int64) for c in ("hashes", "docs", "places"))
-            _, inverse, n = np.unique(h, return_inverse=True, return_counts=True)
-            on = np.flatnonzero(n[inverse] > 1)
+            h, h2, doc, place = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.int64) for c in ("hashes", "seconds", "docs", "places"))
+            order = np.lexsort((h2, h))
+            twin = (h[order][1:] == h[order][:-1]) & (h2[order][1:] == h2[order][:-1])
+            several = np.zeros(len(h), bool)
+            several[order[1:][twin]] = True
+            several[order[:-1][twin]] = True
+            on = np.flatnonzero(several)
             by = on[np.lexsort((place[on], doc[on]))]
             if not len(by):
                 continue
-            # one row a document; windows of other shares lie between its places
+            # one row for each text; windows of other shares lie between its places
             d, p = doc[by], place[by]
-            cut = np.concatenate((np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1]))), [len(d)]))
+            cut = np.concatenate((np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (p[1:] >> 31 != p[:-1] >> 31)))), [len(d)]))
             yield pa.RecordBatch.from_arrays([pa.array(d[cut[:-1]]), tv.list_array(p, cut, pa.int64())], names=["doc_id", "places"])
 
-    dealt = docs.mapInArrow(deal, "share int, hashes binary, docs binary, places binary").repartition(parts, "share").sortWithinPartitions("share").mapInArrow(count, "doc_id long, places array<long>")
+    dealt = docs.mapInArrow(tidy(deal), "share int, hashes binary, seconds binary, docs binary, places binary").repartitionById(parts, "share").sortWithinPartitions("share").mapInArrow(tidy(count), "doc_id long, places array<long>")
     return ordinary.select("doc_id", "low", "high", F.lit(None).cast("array<long>").alias("places")).unionByName(dealt.select("doc_id", F.lit(None).cast("long").alias("low"), F.lit(None).cast("long").alias("high"), "places"))
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """doc_id, lows, highs, places: the windows of each document that occur elsewhere, as runs and single places."""
+    """doc_id, base, lows, highs, places: the windows of each row that occur elsewhere, as runs and single places."""
     told = materialise(survey(docs))
     kinds = materialise(told.groupBy("anchor", "context").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "low")).alias("rep")))
     whole = told.join(kinds.where("c > 1").select("anchor", "context"), ["anchor", "context"]).select("doc_id", "low", "high")
@@ -296,7 +348,8 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     if "places" not in solved.columns:
         solved = solved.withColumn("places", F.lit(None).cast("array<long>"))
     both = whole.withColumn("places", F.lit(None).cast("array<long>")).unionByName(solved.select("doc_id", "low", "high", "places"))
-    return both.groupBy("doc_id").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"), F.flatten(F.collect_list("places")).alias("places"))
+    start = F.shiftleft(F.shiftright(F.coalesce("low", F.col("places")[0]), 31), 31)
+    return both.groupBy("doc_id", start.alias("base")).agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"), F.flatten(F.collect_list("places")).alias("places"))
 
 
 def spans_removed(size: int, low: np.ndarray, high: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -312,33 +365,37 @@ def spans_removed(size: int, low: np.ndarray, high: np.ndarray, places: np.ndarr
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """Per row of (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left).
 
-    A null text is empty. A null doc_id takes part as the least id, so that several of them lose what any of them
-    repeats; rows that repeat a doc_id repeat each other's text if it is the same. Other columns are not read.
+    A null text is empty. Rows are told apart by doc_id and text, whether the doc_id is unique, repeated or null; rows
+    that repeat both repeat each other's text. Texts under 400 bytes lose nothing; long ones are read whole. Other
+    columns are not read. An empty table gives an empty one.
     """
+    least = -(2**63)  # the id of rows without one
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    safe = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63)))).where(F.octet_length("text") >= LENGTH)
-    hits = repeated_runs(safe).withColumnRenamed("doc_id", "__id")
+    rows, _ = with_base(docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(least))))
+    found = repeated_runs(rows.where(F.octet_length("text") >= LENGTH))
 
     def cut(batches):
         for whole in batches:
             for b in slices(whole, "text"):
-                rows = []
-                for text, low, high, places in zip(b.column("text").to_pylist(), b.column("lows").to_pylist(), b.column("highs").to_pylist(), b.column("places").to_pylist(), strict=True):
+                out = []
+                for text, base, low, high, places in zip(*(b.column(c).to_pylist() for c in ("text", "base", "lows", "highs", "places")), strict=True):
                     raw = (text or "").encode()
-                    gone = spans_removed(len(raw), *(np.asarray(v or [], np.int64) for v in (low, high, places))) if low or places else (np.zeros(0, np.int64),) * 2
+                    gone = spans_removed(len(raw), *(np.asarray(v or [], np.int64) - base for v in (low, high, places))) if low or places else (np.zeros(0, np.int64),) * 2
                     kept, at = [], 0
                     for a, z in zip(*(v.tolist() for v in gone), strict=True):
                         kept.append(raw[at:a])
                         at = z
                     left = b"".join([*kept, raw[at:]])
-                    rows.append((len(raw), len(raw) - len(left), len(gone[0]), hashlib.sha256(left).hexdigest(), left))
-                cols = list(zip(*rows, strict=True))
+                    out.append((len(raw), len(raw) - len(left), len(gone[0]), hashlib.sha256(left).hexdigest(), left))
+                cols = list(zip(*out, strict=True))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    joined = docs.withColumn("__id", F.coalesce("doc_id", F.lit(-(2**63)))).join(hits, "__id", "left")
-    return joined.select("doc_id", "text", "lows", "highs", "places").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    joined = rows.join(found, ["doc_id", "base"], "left")
+    out = joined.select("doc_id", "base", "text", "lows", "highs", "places").mapInArrow(tidy(cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return out.withColumn("doc_id", F.when(F.col("doc_id") != least, F.col("doc_id")))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, as :func:`remove_repeats` defines them."""
     return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text")).drop("kept")

@@ -18,7 +18,6 @@ _M1, _M2 = U64(0xFF51AFD7ED558CCD), U64(0xC4CEB9FE1A85EC53)
 WS = np.zeros(256, bool)
 WS[[9, 10, 11, 12, 13, 32]] = True
 _BYTE = np.random.RandomState(20240607).randint(1, 2**63 - 1, 256, dtype=np.int64).astype(U64)
-_BYTE_WORD = np.where(WS, U64(0), _BYTE)
 _POW = np.cumprod(np.full(4096, _P, U64), dtype=U64)
 
 
@@ -84,14 +83,24 @@ def words(buf: np.ndarray, off: np.ndarray, hashes: bool = True) -> Words:
     return Words(start, end, row, _hash_words(buf, start, end) if hashes else np.zeros(0, U64), bounds)
 
 
+_LOW = np.asarray([(1 << 8 * k) - 1 for k in range(9)], U64)
+
+
 def _hash_words(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """As hash_spans, for words that together hold every byte but white space: powers of places in the buffer, taken back per word."""
+    """Hashes of spans, eight bytes at a time; all spans take a step together while they last."""
     if not len(start):
         return np.zeros(0, U64)
-    up, down = place_powers(len(buf))
-    x = _BYTE_WORD[buf]
-    x *= up[: len(buf)]
-    return mix(np.add.reduceat(x, start) * down[start] + (end - start).astype(U64))
+    padded = np.append(buf, np.zeros(8, np.uint8))
+    eight = np.ndarray((len(buf) + 1,), "<u8", padded, 0, (1,))  # the eight bytes from each place
+    left = end - start
+    h = mix(left.astype(U64) * _P + (eight[start] & _LOW[np.minimum(left, 8)]))
+    on = np.flatnonzero(left > 8)
+    step = 8
+    while len(on):
+        h[on] = mix(h[on] * _P + (eight[start[on] + step] & _LOW[np.minimum(left[on] - step, 8)]))
+        step += 8
+        on = on[left[on] > step]
+    return h
 
 
 _PLACE = (np.zeros(0, U64), np.zeros(0, U64))

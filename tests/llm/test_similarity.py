@@ -71,17 +71,52 @@ def brute_lines(rows):
 
 def test_line_dedup(docs, docs_rows, no_docs):
     _, removed = ld.repeated_lines(docs)
-    assert {(r.doc_id, r.line) for r in removed.collect()} == brute_lines(docs_rows)
+    assert {(r.doc_id, r.line % 2**31) for r in removed.collect()} == brute_lines(docs_rows)
     assert ld.repeated_lines(no_docs)[1].count() == 0
 
 
 def test_line_dedup_first_tries(docs, docs_rows, monkeypatch):
     monkeypatch.setattr(ld, "FIRST_TRIES", 1)
     monkeypatch.setattr(ld, "BESIDE", 2)
-    monkeypatch.setattr(ld, "KNOWN_LINES", 0)
     monkeypatch.setattr(ld, "RANKED_WORDS", 20)
     _, removed = ld.repeated_lines(docs)
-    assert {(r.doc_id, r.line) for r in removed.collect()} == brute_lines(docs_rows)
+    assert {(r.doc_id, r.line % 2**31) for r in removed.collect()} == brute_lines(docs_rows)
+
+
+def test_line_dedup_blocks(docs, docs_rows, monkeypatch):
+    """A word's postings fill several blocks, and tasks settle what they hold early."""
+    monkeypatch.setattr(ld, "FIRST_TRIES", 1)
+    monkeypatch.setattr(ld, "BESIDE", 0)
+    monkeypatch.setattr(ld, "RANKED_WORDS", 0)
+    monkeypatch.setattr(ld, "GROUP", 3)
+    monkeypatch.setattr(ld, "HELD", 20)
+    monkeypatch.setattr(ld, "PAIRS", 5)
+    _, removed = ld.repeated_lines(docs)
+    assert {(r.doc_id, r.line % 2**31) for r in removed.collect()} == brute_lines(docs_rows)
+
+
+def test_line_dedup_hot_word(spark):
+    """Hundreds of lines that share one word of their prefixes, few of them alike."""
+    import random
+
+    r = random.Random(11)
+    rows = []
+    for k in range(300):
+        other = [f"w{r.randrange(40)}" for _ in range(7)]
+        rows.append((k, "\n".join(["the " + " ".join(other), "the " + " ".join(f"v{r.randrange(9)}" for _ in range(3))])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    _, removed = ld.repeated_lines(df)
+    assert {(x.doc_id, x.line % 2**31) for x in removed.collect()} == brute_lines(rows)
+
+
+def test_line_dedup_repeated_ids(spark):
+    """Rows of one doc_id with other texts keep their lines apart; null ids lose nothing."""
+    rows = [(1, "alpha beta gamma delta eps"), (5, "one two three four five"), (5, "alpha beta gamma delta eps"), (5, "one two three four five"), (None, "one two three four five"), (None, None), (7, None), (8, "x\n\none two three four five\n")]
+    df = spark.createDataFrame([(d, t, d, "z") for d, t in rows], "doc_id long, text string, gone long, base string").repartition(3)
+    left = ld.remove_repeated_lines(df, drop_emptied=False)
+    assert left.columns == df.columns
+    got = Counter((r.doc_id, r.text) for r in left.collect())
+    assert got == Counter({(1, rows[0][1]): 1, (5, rows[1][1]): 2, (5, ""): 1, (None, rows[1][1]): 1, (None, None): 1, (7, None): 1, (8, "x\n\n"): 1})
 
 
 def test_remove_repeated_lines(docs, docs_rows):
@@ -126,6 +161,29 @@ def test_suffix_dedup_hot(docs, docs_rows, monkeypatch):
     assert got == brute_repeats(docs_rows)
 
 
+def test_suffix_dedup_repeated_ids(spark):
+    """Null and repeated doc_ids with equal and other texts, one of them under the length of the others."""
+    a, b, c = "A" * 650 + "tail", "q" * 100 + "A" * 501, "".join(chr(97 + k * k % 23) for k in range(900))
+    rows = [(1, a), (1, b), (2, a), (None, c), (None, "x" + c), (None, None), (3, c[:399]), (4, ""), (2, a), (1, c[100:620])]
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sd.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == brute_repeats([(-1 if d is None else d, t) for d, t in rows])
+
+
+def test_common_prefixes():
+    import numpy as np
+
+    r = np.random.RandomState(5)
+    for n in (40, 200):
+        text = np.concatenate([r.randint(0, 2, n), [256], r.randint(0, 2, n // 2), [256]])
+        text = np.concatenate([text, text[3 : n - 2], [256]])
+        sa = sd.suffix_array(text)
+        for length in (16, 24):
+            own = sa[sa + length <= len(text)]
+            own = own[[256 not in text[i : i + length] for i in own]]
+            want = [text[i : i + length].tolist() == text[j : j + length].tolist() for i, j in zip(own[:-1], own[1:], strict=True)]
+            assert sd.common_prefixes(text, own, length).tolist() == want and any(want)
+
+
 def test_suffix_array():
     import numpy as np
 
