@@ -499,10 +499,10 @@ def open_pairs(blocks: DataFrame, waiting: DataFrame, similarity: float) -> Data
     return asked.join(blocks, "word").mapInArrow(tidy(run), "a_doc long, a_line long, b_doc long, b_line long").distinct()
 
 
-def verify(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """The distinct (doc_id, line) that match one of their partners exactly."""
+def sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """d, l, n, words (sorted hashes) and s0 .. s7 (a bitmap of 512 bits) of the lines in materialised pairs (and some others)."""
     spark = docs.sparkSession
-    size = pairs.count()
+    bits = bits_for(2 * pairs.count())
 
     def lines(b):
         d, n = (np.concatenate([b.column(f"{s}_{c}").to_numpy() for s in "ab"]) for c in ("doc", "line"))
@@ -512,30 +512,56 @@ def verify(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
         d = np.concatenate([b.column(f"{s}_doc").to_numpy() for s in "ab"])
         return place_name(d, np.zeros(len(d)))
 
-    bits = bits_for(2 * size)
     filters = spark.sparkContext.broadcast((bit_set(pairs, lines, bits), bit_set(pairs, documents, bits)))
 
-    def sets(batches):
+    def run(batches):
         wanted, holders = filters.value
         for whole in batches:
             d = whole.column("doc_id").to_numpy(zero_copy_only=False)
             whole = whole.filter(pa.array(in_set(holders, place_name(d, np.zeros(len(d))))))
             for b in slices(whole, "text"):
                 x, doc = lines_of(b)
-                if not len(x.n):
+                on = np.flatnonzero(in_set(wanted, place_name(doc, x.number)) & (x.n > 0)) if len(x.n) else np.zeros(0, np.int64)
+                if not len(on):
                     continue
-                on = np.flatnonzero(in_set(wanted, place_name(doc, x.number)) & (x.n > 0))
-                raw, cut = x.values.tobytes(), (x.bounds * 8).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(doc[on]), pa.array(x.number[on]), pa.array([raw[cut[k] : cut[k + 1]] for k in on.tolist()], pa.binary())], names=["d", "l", "words"])
+                v = x.values[np.repeat(np.isin(np.arange(len(x.n)), on), x.n)]
+                start = np.concatenate(([0], np.cumsum(x.n[on])))
+                bit = tv.mix(v * _SALT2)
+                low, which = tv.U64(1) << (bit & tv.U64(63)), (bit >> tv.U64(6)) & tv.U64(7)
+                maps = [np.bitwise_or.reduceat(np.where(which == k, low, tv.U64(0)), start[:-1]).view(np.int64) for k in range(8)]
+                raw, cut = v.tobytes(), (start * 8).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(doc[on]), pa.array(x.number[on]), pa.array(x.n[on].astype(np.int32)), pa.array([raw[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), *map(pa.array, maps)], names=["d", "l", "n", "words", *(f"s{k}" for k in range(8))])
 
     # a repeated row of documents would give a set twice, which changes nothing
-    words = docs.mapInArrow(tidy(sets), "d long, l long, words binary")
-    left = pairs.join(words.select(F.col("d").alias("a_doc"), F.col("l").alias("a_line"), F.col("words").alias("x")), ["a_doc", "a_line"])
-    both = left.join(words.select(F.col("d").alias("b_doc"), F.col("l").alias("b_line"), F.col("words").alias("y")), ["b_doc", "b_line"])
+    return materialise(docs.mapInArrow(tidy(run), "d long, l long, n int, words binary, " + ", ".join(f"s{k} long" for k in range(8))))
+
+
+PAIR = ["a_doc", "a_line", "b_doc", "b_line"]
+
+
+def both_sides(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """Pairs with columns of both lines, as a_... and b_..."""
+    for s in "ab":
+        pairs = pairs.join(sets.select(F.col("d").alias(f"{s}_doc"), F.col("l").alias(f"{s}_line"), *(F.col(c).alias(f"{s}_{c}") for c in columns)), [f"{s}_doc", f"{s}_line"])
+    return pairs
+
+
+def screened(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs, with ``apart``, whose bitmaps of 512 bits leave room for the overlap."""
+    maps = [f"s{k}" for k in range(8)]
+    met = both_sides(pairs, sets.select("d", "l", "n", *maps), "n", *maps)
+    apart = sum((F.bit_count(F.col(f"a_{m}").bitwiseXOR(F.col(f"b_{m}"))) for m in maps), F.lit(0))
+    size = F.col("a_n") + F.col("b_n")
+    fits = size - F.col("apart") >= 2 * F.ceil(similarity / (1 + similarity) * size - 1e-9)
+    return met.withColumn("apart", apart).where(fits).select(*PAIR, "apart").distinct()
+
+
+def verify(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The distinct (doc_id, line) that match one of their partners exactly."""
 
     def compare(batches):
         for b in batches:
-            x, y = b.column("x").to_pylist(), b.column("y").to_pylist()
+            x, y = b.column("a_words").to_pylist(), b.column("b_words").to_pylist()
             keep = np.zeros(len(x), bool)
             for k, (p, q) in enumerate(zip(x, y, strict=True)):
                 p, q = np.frombuffer(p, tv.U64), np.frombuffer(q, tv.U64)
@@ -544,7 +570,8 @@ def verify(docs: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
                 keep[k] = same >= similarity * (len(p) + len(q) - same) - 1e-9
             yield pa.RecordBatch.from_arrays([b.column("a_doc"), b.column("a_line")], names=["doc_id", "line"]).filter(pa.array(keep))
 
-    return both.select("a_doc", "a_line", "x", "y").mapInArrow(tidy(compare), "doc_id long, line long").distinct()
+    met = both_sides(pairs.select(*PAIR), sets, "words")
+    return met.select("a_doc", "a_line", "a_words", "b_words").mapInArrow(tidy(compare), "doc_id long, line long").distinct()
 
 
 def repeated_lines(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -576,15 +603,18 @@ def settled(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     rows = told.where(F.col("kind") == ROWS).select("a", "b", "c").mapInArrow(flat(["doc_id", "base", "n_lines"]), "doc_id long, base long, n_lines long")
     near = materialise(candidates(postings(docs, order, similarity, parts), similarity, parts, FIRST_TRIES))
     order.unpersist()
-    pair = ["a_doc", "a_line", "b_doc", "b_line"]
-    first = materialise(verify(docs, materialise(near.where("b_doc IS NOT NULL").select(*pair).distinct()), similarity))
-    removed = again.unionByName(first)
-
-    # the exact rest, for lines that the first tries left open: the candidates written beside them, and the blocks of words that had too many
+    tries = materialise(near.where("b_doc IS NOT NULL").select(*PAIR).distinct())
+    sets = sets_of(docs, tries)
+    likely = materialise(screened(tries, sets, similarity))
+    # the nearest partner of each line settles most of them
+    nearest = likely.groupBy("a_doc", "a_line").agg(F.min(F.struct("apart", "b_doc", "b_line")).alias("b")).select("a_doc", "a_line", F.col("b.b_doc").alias("b_doc"), F.col("b.b_line").alias("b_line"))
+    first = materialise(verify(nearest, sets, similarity))
+
+    # the exact rest, for lines that are still open: the other tries, the candidates written beside them, and the blocks of words that had too many
     def still_open(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumnsRenamed({"a_doc": "doc_id", "a_line": "line"})
-        return rows.join(first, ["doc_id", "line"], "left_anti").withColumnsRenamed({"doc_id": "a_doc", "line": "a_line"})
+        return rows.join(first.withColumnsRenamed({"doc_id": "a_doc", "line": "a_line"}), ["a_doc", "a_line"], "left_anti")
 
+    removed = again.unionByName(first).unionByName(verify(still_open(likely), sets, similarity))
     beside = still_open(near.where(F.size("d_docs") > 0).select("a_doc", "a_line", "d_docs", "d_lines"))
     rest = beside.select("a_doc", "a_line", F.explode(F.arrays_zip("d_docs", "d_lines")).alias("d")).select("a_doc", "a_line", F.col("d.d_docs").alias("b_doc"), F.col("d.d_lines").alias("b_line"))
     waiting = materialise(still_open(near.where("word IS NOT NULL AND a_doc IS NOT NULL").select("a_doc", "a_line", "word", *OWN)))
@@ -593,7 +623,8 @@ def settled(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
         rest = rest.unionByName(open_pairs(blocks, waiting, similarity))
     rest = materialise(rest.distinct())
     if not rest.isEmpty():
-        removed = removed.unionByName(verify(docs, rest, similarity))
+        sets = sets_of(docs, rest)
+        removed = removed.unionByName(verify(screened(rest, sets, similarity), sets, similarity))
     return rows, removed.distinct()
 
 
