@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm.chunks import MARKS, MEMO_ENTRIES, ChunkMemo, plain_word, split
-from spanloom.llm.common import materialise, most_frequent, slices, table
+from spanloom.llm.common import CACHES, materialise, most_frequent, slices, table, tidy
 
 #: Words of the compiled lexicon; with their ids some 3 MB, whatever the corpus.
 LEXICON_WORDS = 100_000
@@ -334,6 +334,7 @@ def codec(path: str, lexicon: Broadcast | None) -> Codec:
     key = (path, hashlib.md5(data).digest() if data else None)
     if key not in _CODECS:
         _CODECS.clear()
+        CACHES["bpe"] = _CODECS.clear
         _CODECS[key] = Codec(path, Lexicon.mapped(data) if data else None)
     return _CODECS[key]
 
@@ -365,7 +366,7 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
         if held:
             yield out()
 
-    return docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(text).mapInArrow(tidy(count, "bpe"), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(docs: DataFrame, path: str, words: int = LEXICON_WORDS, text: str = "text") -> Broadcast:
@@ -393,10 +394,11 @@ def encode_documents(docs: DataFrame, path: str, lexicon: Broadcast | None, keep
                     cols["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(i for i, _ in made), "<i4")))
                 yield pa.RecordBatch.from_pydict(cols)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(encode, "bpe"), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256; a null text encodes to nothing."""
     import public_tokenizers
 
     path = public_tokenizers.path("word_bpe_49k.json")

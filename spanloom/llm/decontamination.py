@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import textvec as tv
-from spanloom.llm.common import slices, table
+from spanloom.llm.common import slices, table, tidy
 
 #: q-gram length (eight bytes are one machine word), window and its step (normalised bytes), edits as a share of a window, least item matched with edits.
 Q, WINDOW, STEP, EDITS, LEAST = 8, 80, 40, 0.1, 24
@@ -24,6 +24,8 @@ Q, WINDOW, STEP, EDITS, LEAST = 8, 80, 40, 0.1, 24
 FINER = 3
 #: Bytes of benchmark items that one pass over the documents looks for; a larger benchmark takes more passes.
 PASS_BYTES = 1 << 20
+#: Text bytes that are searched together.
+SLICE = 1 << 20
 _FILTER_BITS = 22
 _MUL = tv.U64(0x9E3779B97F4A7C15)
 _KEEP = np.zeros(256, np.uint8)
@@ -220,7 +222,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches, held=held):
             p = held.value
             for whole in batches:
-                for b in slices(whole, "text"):
+                for b in slices(whole, "text", SLICE):
                     merged: dict[tuple, list] = {}
                     for (r, w), (edits, low, high) in (search(p, b.column("text")) if p else {}).items():
                         own = merged.setdefault((r, p.item[w]), [0, edits, low, high])
@@ -230,7 +232,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     cols = [[merged[k][i] for k in keys] for i in range(4)]
                     yield pa.RecordBatch.from_arrays([b.column("doc_id").take(rows), pa.array([k[1] for k in keys], pa.int64()), *(pa.array(c, pa.int32()) for c in cols)], names=["doc_id", "item_id", "n_windows", "edits", "first_byte", "end_byte"])
 
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, item_id long, n_windows int, edits int, first_byte int, end_byte int")
+        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, item_id long, n_windows int, edits int, first_byte int, end_byte int")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -256,14 +258,15 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches, held=held):
             p = held.value
             for whole in batches:
-                for b in slices(whole, "text"):
+                for b in slices(whole, "text", SLICE):
                     keep = np.ones(b.num_rows, bool)
                     keep[[r for r, _ in (search(p, b.column("text")) if p else ())]] = False
                     yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document row and item that match, as :func:`matches` defines them."""
     return matches(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))

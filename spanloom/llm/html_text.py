@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import slices, table
+from spanloom.llm.common import slices, table, tidy
 
 #: Generated training pages, trees, their depth, learning rate, bins of a feature.
 PAGES, TREES, DEPTH, RATE, BINS = 700, 50, 4, 0.2, 32
@@ -462,8 +462,9 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                 text = extract(b.column("html").to_pylist(), held.value)
                 yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page: page_id, url, text (empty if none, as for a null or empty page), n_chars."""
     return extract_pages(table(spark, sf_dir, "pages", "page_id", "url", "html"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import textvec as tv
-from spanloom.llm.common import components, materialise, n_parts, slices, table, whole_groups
+from spanloom.llm.common import components, materialise, n_parts, slices, table, tidy, whole_groups
 
 SHINGLE, SIMILARITY, REPEATS, DEPTH = 5, 0.8, 12, 3
 #: Sets of a bucket that stops splitting; sets of a block of a bucket that can't split further.
@@ -74,7 +74,7 @@ def describe(docs: DataFrame) -> DataFrame:
                 nodes = pa.ListArray.from_arrays(pa.array(np.arange(len(k1) + 1, dtype=np.int32) * REPEATS * DEPTH), pa.array(paths(values, bounds).reshape(-1)))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(k1), pa.array(k2), pa.array(np.diff(bounds)), nodes], names=["doc_id", "k1", "k2", "n", "nodes"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, k1 long, k2 long, n long, nodes array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, k1 long, k2 long, n long, nodes array<long>")
 
 
 def leaves(sets: DataFrame) -> DataFrame:
@@ -170,7 +170,7 @@ def link_counts(docs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
             raw = v.tobytes()
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "n", "r", "node", "size")), pa.array([raw[k : k + 8 * REPEATS] for k in range(0, len(raw), 8 * REPEATS)], pa.binary())], names=["doc_id", "n", "r", "node", "size", "vector"])
 
-    packed = joined.mapInArrow(pack, "doc_id long, n long, r int, node long, size long, vector binary")
+    packed = joined.mapInArrow(tidy(pack), "doc_id long, n long, r int, node long, size long, vector binary")
 
     def screen(batches):
         """Members that meet a set of fitting size here for the first time."""
@@ -183,7 +183,7 @@ def link_counts(docs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
             yield from t.filter(pa.array(keep)).to_batches()
 
     parts = n_parts(docs.sparkSession)
-    small = packed.where(F.col("size") <= BLOCK).repartition(parts, "node").sortWithinPartitions("node").mapInArrow(screen, packed.schema)
+    small = packed.where(F.col("size") <= BLOCK).repartition(parts, "node").sortWithinPartitions("node").mapInArrow(tidy(screen), packed.schema)
     needed = small.unionByName(packed.where(F.col("size") > BLOCK))
     per_doc = needed.groupBy("doc_id").agg(F.first("vector").alias("vector"), F.collect_list(F.struct("r", "node", "size")).alias("at"))
     wanted = per_doc.join(sets.select("doc_id", "k1", "k2", "w"), "doc_id")
@@ -219,7 +219,7 @@ def link_counts(docs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
                 if out:
                     yield pour(out)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").mapInArrow(emit, "grp long, r int, block int, low int, high int, doc_id long, w long, vector binary, hashes binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").mapInArrow(tidy(emit), "grp long, r int, block int, low int, high int, doc_id long, w long, vector binary, hashes binary")
 
     def verify(batches):
         for t in whole_groups(batches, "grp"):
@@ -251,7 +251,7 @@ def link_counts(docs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
                 cols = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "links", "root"])
 
-    return rows.repartition(parts, "grp").sortWithinPartitions("grp").mapInArrow(verify, "doc_id long, links long, root long")
+    return rows.repartition(parts, "grp").sortWithinPartitions("grp").mapInArrow(tidy(verify), "doc_id long, links long, root long")
 
 
 def jaccard_join(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -285,4 +285,5 @@ def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, class_id, copy_of, n_links, as :func:`jaccard_join` defines them."""
     return jaccard_join(table(spark, sf_dir, "documents", "doc_id", "text"))

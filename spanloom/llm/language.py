@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import textvec as tv
-from spanloom.llm.common import crc_mod, slices, table
+from spanloom.llm.common import crc_mod, slices, table, tidy
 
 #: Training rows of a language, the longest text (bytes) among them, n-gram orders, hashed features of an order.
 TRAIN_ROWS, TRAIN_BYTES, ORDERS, BITS = 600, 65_536, (1, 2, 3), 13
@@ -184,10 +184,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score), pa.array(unsure)], names=[*keep, "lang_pred", "score", "ambiguous"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep).mapInArrow(run, f"{kinds}, lang_pred string, score double, ambiguous boolean")
+    return docs.select(*keep).mapInArrow(tidy(run), f"{kinds}, lang_pred string, score double, ambiguous boolean")
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, held_out, lang_pred, score, ambiguous. A null doc_id is not held out."""
     model = train(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
     out = identify(table(spark, sf_dir, "documents", "doc_id", "text"), model)
-    return out.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
+    return out.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")

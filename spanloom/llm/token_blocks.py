@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm.chunks import ChunkMemo
-from spanloom.llm.common import n_parts, shared_dir, slices, table
+from spanloom.llm.common import CACHES, n_parts, shared_dir, slices, table, tidy
 
 MAGIC, VERSION, BLOCK, PERCENTILE, END_ID = b"SLPF", 1, 128, 0.9, 2
 #: Ids after which a writer closes its shard.
@@ -162,6 +162,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer_path: str, shard_id
 
     def encode(batches):
         memo = library_memo(tokenizer_path)
+        CACHES["token_blocks"] = library_memo.cache_clear
         from pyspark import TaskContext
 
         shard, seq = TaskContext.get().partitionId(), 0
@@ -193,7 +194,7 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer_path: str, shard_id
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.repartitionByRange(n_parts(docs.sparkSession), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    rows.mapInArrow(encode, SHARDS).write.parquet(path)
+    rows.mapInArrow(tidy(encode, "token_blocks"), SHARDS).write.parquet(path)
 
 
 def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
@@ -213,11 +214,12 @@ def read_token_shards(spark: SparkSession, path: str) -> DataFrame:
                 n = len(doc_id)
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_id, mask=doc_id == NO_ID), "local": pa.array(first), "n_tokens": pa.array(stop - first), "ids_crc32": pa.array(crc, pa.int64()), "shard": pa.array(np.full(n, shard)), "seq": pa.array(np.full(n, seq, np.int32))})
 
-    docs = shards.select("shard", "seq", "payload").mapInArrow(decode, "doc_id long, local long, n_tokens long, ids_crc32 long, shard long, seq int")
+    docs = shards.select("shard", "seq", "payload").mapInArrow(tidy(decode, "token_blocks"), "doc_id long, local long, n_tokens long, ids_crc32 long, shard long, seq int")
     return docs.join(place, ["shard", "seq"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", "shard", "seq")
 
 
 def op1_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document, read back from the shard files: doc_id, start, n_tokens, ids_crc32, shard, seq."""
     import public_tokenizers
 
     path = shared_dir(spark)

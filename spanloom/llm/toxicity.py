@@ -13,14 +13,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm import textvec as tv
-from spanloom.llm.common import crc_mod, slices, table
-
-#: Labelled rows that the model is fitted on, of each class, and the longest text (bytes) among them.
-TOXIC_ROWS, CLEAN_ROWS, TRAIN_BYTES = 700, 1000, 12_288
+from spanloom.llm.common import crc_mod, slices, table, tidy
+
+#: Labelled rows that the model is fitted on, of each class: a bounded sample.
+TOXIC_ROWS, CLEAN_ROWS = 700, 1000
+#: Bytes of toxic training texts in all (the shortest of the sample, whole), and of the piece that stands for a clean one.
+TOXIC_BYTES, PIECE = 12 << 20, 8192
+#: Marginals under which a token is no evidence, and the greatest log odds of a document without evidence.
+EVIDENCE, PRIOR = 0.1, -0.4
 GROUPS, BITS = 7, 18
 WIDTH = 1 << BITS
 #: A feature marks toxicity if this many times likelier in toxic documents and seen in so many of them that no earlier feature explains.
@@ -158,6 +162,8 @@ def fit(texts: pa.Array, toxic: np.ndarray, epochs: int = 12, rate: float = 0.5)
     if not len(feat) or not toxic.any():
         return model
     y = label_tokens(feat, w.bounds, toxic)
+    if not y.any():
+        return model  # nothing tells the classes apart: no document is called toxic
     first = np.zeros(len(feat), bool)
     first[w.bounds[:-1][np.diff(w.bounds) > 0]] = True
     # only features of toxic tokens, and those that share a token with them, can move away from zero usefully
@@ -195,10 +201,13 @@ def fit(texts: pa.Array, toxic: np.ndarray, epochs: int = 12, rate: float = 0.5)
     model.weight[names], model.bias, model.trans = weight[:-1], float(bias), trans
     x = document_features(chain(weight[cols].sum(axis=1) + bias, first, trans)[0], w.bounds)
     model.curve = logistic(x, toxic.astype(float))
+    model.curve[0] = min(model.curve[0], PRIOR - model.curve[1] * EVIDENCE)
     return model
 
 
 def document_features(p: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """1, the greatest marginal and the logarithm of their sum, of tokens that are evidence: none of a long clean text adds up."""
+    p = np.where(p >= EVIDENCE, p, 0.0)
     out = np.zeros((len(bounds) - 1, 3))
     out[:, 0] = 1
     full = np.flatnonzero(np.diff(bounds) > 0)
@@ -245,21 +254,49 @@ def training_rows(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_RO
     seen = labels.where(F.col("toxic").isNotNull() & (crc_mod("doc_id", 5) != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id", F.lit(3))
     sample = seen.where("toxic = 1").orderBy(order, "doc_id").limit(toxic_rows).unionByName(seen.where("toxic = 0").orderBy(order, "doc_id").limit(clean_rows))
-    return docs.select("doc_id", "text").where(F.octet_length("text") <= TRAIN_BYTES).join(F.broadcast(sample), "doc_id").select("text", "toxic")
+    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")
+
+
+def piece(text: str, own: int) -> str:
+    """One stretch of at most ``PIECE`` bytes or so of a clean text, between white space; ``own`` decides which."""
+    out, held, size = [], [], 0
+    for word in text.split():
+        size += len(word.encode()) + 1
+        held.append(word)
+        if size >= PIECE:
+            out.append(held)
+            held, size = [], 0
+    out = [*out, held] if held or not out else out
+    return " ".join(out[own % len(out)])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    rows = training_rows(docs, labels).toArrow().combine_chunks()
-    toxic = rows.column("toxic").to_numpy().astype(bool) if rows.num_rows else np.zeros(0, bool)
-    text = rows.column("text")
-    order = pc.sort_indices(text).to_numpy()  # float sums in a fixed order
-    return fit(text.take(pa.array(order, pa.int64())), toxic[order])
+    """Fit on a bounded sample of the labelled rows that aren't held out; several labels of a doc_id count as the greatest.
+
+    Rows without text, and documents without a label, take no part. Without a toxic row, or where nothing tells toxic
+    rows from clean ones, the model has no weights and calls no document toxic.
+    """
+
+    def cut(batches):
+        for b in batches:
+            some = [piece(t, own) if not label else t for t, own, label in zip(*(b.column(c).to_pylist() for c in ("text", "own", "toxic")), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), b.column("toxic")], names=["text", "toxic"])
+
+    rows = training_rows(docs, labels).select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"), F.crc32(F.coalesce("text", F.lit(""))).alias("own"))
+    size = F.octet_length("text")
+    # of the sample alone, which the numbers of rows bound
+    total = F.sum(size).over(Window.partitionBy("toxic").orderBy(size, "own").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("total", F.when(F.col("toxic") == 1, total).otherwise(0)).where(F.col("total") <= TOXIC_BYTES)
+    rows = rows.mapInArrow(tidy(cut), "text string, toxic int").toArrow().combine_chunks()
+    rows = rows.take(pc.sort_indices(rows, [("text", "ascending"), ("toxic", "ascending")]))  # float sums in a fixed order
+    return fit(rows.column("text"), rows.column("toxic").to_numpy().astype(bool) if rows.num_rows else np.zeros(0, bool))
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """Every column of docs with score (0 to 1), predicted (0 or 1) and spans (code-point offsets, end exclusive).
 
-    ``text`` may be null or empty: no evidence, no span. Columns named as the new ones are replaced.
+    ``text`` may be null or empty: no evidence, no span, a score under 0.5. Long texts are read whole; repeated rows
+    score alike; an empty table gives an empty one. Columns named as the new ones are replaced.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in docs.columns if c not in ("score", "predicted", "spans")]
@@ -273,7 +310,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, "score", "predicted", "spans"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-    return docs.select(*keep).mapInArrow(run, f"{kinds}, score double, predicted int, spans {SPANS}")
+    return docs.select(*keep).mapInArrow(tidy(run), f"{kinds}, score double, predicted int, spans {SPANS}")
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
@@ -285,10 +322,14 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
             for b in slices(whole, "text"):
                 yield b.filter(pa.array(score_texts(held.value, b.column("text"), spans=False)[0] < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: doc_id, held_out, score, predicted, n_spans, spans (code-point offsets of the toxic tokens).
+
+    A null doc_id is not held out.
+    """
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     scored = score_documents(docs, train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
-    return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+    return scored.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"), "spans")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import materialise, table, whole_groups
+from spanloom.llm.common import materialise, table, tidy, whole_groups
 
 K, SCALE, EVERY = 20, 64, 20
 #: Rows and queries of a block, rows of the sample that sets the floors, segments of each resolution.
@@ -153,7 +153,7 @@ def search(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
                     floor -= 1 + 1e-9 * np.abs(floor)  # under it by more than rounding
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((ids, raw, dim, part, floor.tobytes()), (pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["q_ids", "q", "dim", "part", "floor"])
 
-    ready = materialise(asked.mapInArrow(floors, "q_ids binary, q binary, dim int, part long, floor binary"))
+    ready = materialise(asked.mapInArrow(tidy(floors), "q_ids binary, q binary, dim int, part long, floor binary"))
     # every query block meets every row block of its length: blocks, not rows, are joined
     pairs = ready.join(blocks, "dim").repartition(F.col("part"), F.col("block"))
 
@@ -165,7 +165,7 @@ def search(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
                 i, j, score = best(qi, qm, xi, xm, np.frombuffer(floor.as_buffer(), np.float64), k)
                 yield pa.RecordBatch.from_arrays([pa.array(qi[i]), pa.array(xi[j]), pa.array([min(max(int(v), -(2**63)), 2**63 - 1) for v in score.tolist()], pa.int64())], names=["query_id", "vec_id", "score"])
 
-    found = pairs.mapInArrow(meet, PARTIAL)
+    found = pairs.mapInArrow(tidy(meet), PARTIAL)
 
     def merge(batches):
         for t in whole_groups(batches, "query_id"):
@@ -175,10 +175,11 @@ def search(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
             on = turn <= k
             yield pa.RecordBatch.from_arrays([pa.array(q[on]), pa.array(turn[on].astype(np.int32)), pa.array(v[on]), pa.array(s[on])], names=["query_id", "rank", "vec_id", "score"])
 
-    return found.repartition("query_id").sortWithinPartitions("query_id", F.desc("score"), "vec_id").mapInArrow(merge, "query_id long, rank int, vec_id long, score long")
+    return found.repartition("query_id").sortWithinPartitions("query_id", F.desc("score"), "vec_id").mapInArrow(tidy(merge), "query_id long, rank int, vec_id long, score long")
 
 
 def op6_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score of the 20 best rows for each vec_id divisible by 20."""
     return search(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % EVERY == 0)
 
 

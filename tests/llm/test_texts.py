@@ -292,3 +292,26 @@ def test_decontamination_short_items(spark):
     assert set(got) == {(1, 1), (1, 5), (3, 2), (7, 1), (7, 3), (7, 5)}
     assert got[1, 1] == (1, 0, 5, 15) and got[7, 5] == (1, 0, 2, 28) and got[3, 2] == (1, 0, 6, 8)
     assert sorted(x.doc_id for x in decontamination.clean_documents(docs, bench).collect()) == [2, 4, 5, 6, 8, 9]
+
+
+def test_toxicity_without_evidence(spark):
+    """No labels, no toxic row, one toxic row: nothing is called toxic. A null doc_id is not held out."""
+    texts = [(1, "a plain text of some words"), (2, None), (3, ""), (4, "word " * 30_000), (4, "word " * 30_000), (None, "x"), (5, "nasty words here")]
+    docs = spark.createDataFrame([(d, t, 0.5) for d, t in texts], "doc_id long, text string, score double")
+    for labels in ([], [(1, 0), (4, 0), (5, 0)], [(1, 0), (5, 1), (2, 1), (4, None)], [(2, 1), (3, 1)]):
+        model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+        rows = toxicity.score_documents(docs, model).collect()
+        assert len(rows) == len(texts) and all(r.predicted == 0 and 0 <= r.score < 0.5 and not r.spans for r in rows)
+        assert toxicity.drop_toxic(docs, model).count() == len(texts)
+
+
+def test_toxicity_training_is_bounded(spark, monkeypatch):
+    """Long clean texts give a piece, toxic ones come shortest first."""
+    long = " ".join(f"w{k}" for k in range(5000))
+    got = {toxicity.piece(long, k) for k in range(5)}
+    assert all(len(x) <= toxicity.PIECE + 10 and x in long for x in got) and len(got) > 1 and toxicity.piece("", 7) == ""
+    rows = [(k, "clean text of the day", 0) for k in range(20)] + [(100 + k, "clean vile text " + "x " * (10 * k), 1) for k in range(20)]
+    docs = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, x) for d, _, x in rows], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "TOXIC_BYTES", 2000)
+    assert {r.doc_id for r in toxicity.score_documents(docs, toxicity.train(docs, labels)).where("predicted = 1").collect()} == {100 + k for k in range(20)}
