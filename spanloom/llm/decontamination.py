@@ -63,10 +63,15 @@ class Patterns:
     item: list  # item id of each window, then of each short item
     text: np.ndarray  # windows x WINDOW bytes, 0 beyond the end
     size: np.ndarray
+    places: np.ndarray  # windows x 256, as symbol_places has them
+    shift: np.ndarray  # where a window begins in its item
+    least: np.ndarray  # of each long item: the fewest grams that one of its windows needs
     gram: np.ndarray  # sorted distinct grams
-    start: np.ndarray  # their postings
-    window: np.ndarray
+    start: np.ndarray  # their postings: number and place of the long item, the first window that holds the gram, and how many do
+    long: np.ndarray
     place: np.ndarray
+    first: np.ndarray
+    count: np.ndarray
     bits: np.ndarray  # filter
     short: dict  # number of words -> (hashes, bytes -> places in ``item``) of the items under LEAST
 
@@ -82,7 +87,8 @@ def word_runs(h: np.ndarray, n: int) -> np.ndarray:
 
 def patterns(items: list[tuple]) -> Patterns | None:
     """Windows of (item_id, text) and their q-grams; items under LEAST normalised bytes as runs of words."""
-    item, text, size, g, win, at, low = [], [], [], [], [], [], []
+    item, text, size, shift, least, low = [], [], [], [], [], []
+    cols: list[tuple] = []  # grams with their long item, place, first window and number of windows
     for name, t in items:
         raw = np.frombuffer((t or "").encode(), np.uint8)
         x, _, _ = normalise(raw, np.asarray([0, len(raw)]))
@@ -92,15 +98,18 @@ def patterns(items: list[tuple]) -> Patterns | None:
             low += [(name, x)] * (len(x) > 0)
             continue
         last = max(0, len(x) - WINDOW)
-        for s in sorted({*(k * STEP // FINER for k in range(last * FINER // STEP + 1)), last}):
-            w = x[s : s + WINDOW]
-            k = grams(w)
-            g.append(k)
-            win.append(np.full(len(k), len(item)))
-            at.append(np.arange(len(k)))
+        begin = np.asarray(sorted({*(k * STEP // FINER for k in range(last * FINER // STEP + 1)), last}))
+        wide = min(len(x), WINDOW)
+        g = grams(x)
+        at = np.arange(len(g))
+        first = np.searchsorted(begin, at + Q - wide)
+        cols.append((g, np.full(len(g), len(least)), at, first + len(item), np.searchsorted(begin, at, "right") - first))
+        least.append(need_of(np.asarray([wide]))[0])
+        for b in begin.tolist():
             item.append(name)
-            size.append(len(w))
-            text.append(np.pad(w, (0, WINDOW - len(w))))
+            size.append(wide)
+            shift.append(b)
+            text.append(np.pad(x[b : b + wide], (0, WINDOW - wide)))
     short: dict = {}
     for k, (name, x) in enumerate(low, len(item)):
         h = tv.words(x, np.asarray([0, len(x)])).hash
@@ -111,19 +120,50 @@ def patterns(items: list[tuple]) -> Patterns | None:
     item += [name for name, _ in low]
     if not item:
         return None
-    g, win, at = np.concatenate([np.zeros(0, tv.U64), *g]), np.concatenate([np.zeros(0, np.int64), *win]), np.concatenate([np.zeros(0, np.int64), *at])
-    order = np.lexsort((at, win, g))
-    g, win, at = g[order], win[order], at[order]
+    empty = [(np.zeros(0, tv.U64), *[np.zeros(0, np.int64)] * 4)]
+    g, *rest = (np.concatenate(c) for c in zip(*(cols or empty), strict=True))
+    order = np.lexsort((rest[1], rest[0], g))
+    g = g[order]
     gram, start = np.unique(g, return_index=True)
     bits = np.zeros(1 << _FILTER_BITS, bool)
     bits[(gram * _MUL) >> tv.U64(64 - _FILTER_BITS)] = True
-    return Patterns(item, np.stack(text) if text else np.zeros((0, WINDOW), np.uint8), np.asarray(size, np.int64), gram, np.append(start, len(g)), win, at, bits, short)
+    windows = np.stack(text) if text else np.zeros((0, WINDOW), np.uint8)
+    size, shift, least = (np.asarray(v, np.int64) for v in (size, shift, least))
+    return Patterns(item, windows, size, symbol_places(windows, size), shift, least, gram, np.append(start, len(g)), *(c[order] for c in rest), bits, short)
 
 
 def budget(size: np.ndarray) -> np.ndarray:
     return np.floor(EDITS * size).astype(np.int64)
 
 
+def need_of(size: np.ndarray) -> np.ndarray:
+    """Grams that a window shares at least with a match."""
+    return np.maximum(1, size - Q + 1 - budget(size) * Q)
+
+
+def spread(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which, number): the numbers start .. start + count of each."""
+    which = np.repeat(np.arange(len(count)), count)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + start[which]
+
+
+def crowded(p: Patterns, row: np.ndarray, item: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+    """Which shared grams lie beside enough others of their item to be part of a match of any of its windows.
+
+    Diagonals are counted in stretches as wide as a window's band, each with the next, so that every band lies within two.
+    """
+    wide = 2 * (int(budget(np.asarray([WINDOW]))[0]) + 1)
+    most = int(diagonal.max()) // wide + 2
+    key = (row.astype(np.int64) * len(p.least) + item) * most + diagonal // wide
+    place, inverse, hits = np.unique(key, return_inverse=True, return_counts=True)
+    both = hits.copy()  # with the next stretch
+    beside = np.flatnonzero(place[1:] == place[:-1] + 1)
+    both[beside] += hits[beside + 1]
+    enough = both >= p.least[place // most % len(p.least)]
+    enough[beside + 1] |= enough[beside]
+    return enough[inverse]
+
+
 def align(p: Patterns, window: np.ndarray, x: np.ndarray, low: np.ndarray, high: np.ndarray, base: np.ndarray, wide: int) -> tuple[np.ndarray, np.ndarray]:
     """Least edits of each window within x[low:high] on diagonals base .. base + wide, and where that match ends."""
     n, d = len(window), np.arange(wide)
@@ -144,6 +184,45 @@ def align(p: Patterns, window: np.ndarray, x: np.ndarray, low: np.ndarray, high:
     return best, ends
 
 
+#: Characters of a window that fit a machine word.
+WORD = 64
+
+
+def symbol_places(text: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each window and byte the places among its first ``WORD`` characters that hold it, as bits."""
+    out = np.zeros((len(text), 256), np.uint64)
+    rows = np.arange(len(text))
+    for k in range(min(WORD, text.shape[1])):
+        on = rows[size > k]
+        out[on, text[on, k]] |= np.uint64(1) << np.uint64(k)
+    return out
+
+
+def hopeful(p: Patterns, window: np.ndarray, x: np.ndarray, low: np.ndarray, high: np.ndarray, base: np.ndarray, wide: int) -> np.ndarray:
+    """Whether the first ``WORD`` characters of each window lie in x[low:high] near its band within its edits.
+
+    Columns of the edit distances are advanced as bit vectors, all windows at a time. A whole window needs as many
+    edits at least, so nothing that :func:`align` would accept is turned down.
+    """
+    one = np.uint64(1)
+    size = np.minimum(p.size[window], WORD)
+    last = (size - 1).astype(np.uint64)
+    most = budget(p.size[window])
+    up, down = np.full(len(window), ~np.uint64(0)), np.zeros(len(window), np.uint64)
+    score, best = size.copy(), size.copy()
+    for k in range(wide + WORD + int(most.max(initial=0))):
+        at = base + k
+        same = p.places[window, np.where((at >= low) & (at < high), x[np.clip(at, 0, len(x) - 1)], 1)]
+        across = same | down
+        along = (((same & up) + up) ^ up) | same
+        plus, minus = down | ~(along | up), up & along
+        score += ((plus >> last) & one).astype(np.int64) - ((minus >> last) & one).astype(np.int64)
+        plus, minus = plus << one, minus << one
+        up, down = minus | ~(across | plus), plus & across
+        np.minimum(best, score, out=best)
+    return best <= most
+
+
 def whole_words(p: Patterns, x: np.ndarray, rows: np.ndarray):
     """(row, place in ``item``, begin, end) of the short items in normalised texts."""
     if not p.short:
@@ -180,32 +259,51 @@ def search(p: Patterns, texts: pa.Array) -> dict[tuple[int, int], list]:
     hit, k, row = hit[inside], k[inside], row[inside]
     if not len(hit):
         return found
-    count = p.start[k + 1] - p.start[k]
-    post = np.repeat(p.start[k], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    window, at, row = p.window[post], np.repeat(hit, count), np.repeat(row, count)
+    which, post = spread(p.start[k], p.start[k + 1] - p.start[k])
+    keep = crowded(p, row[which], p.long[post], hit[which] - p.place[post] + int(p.place.max()))
+    which, post = which[keep], post[keep]
+    own, window = spread(p.first[post], p.count[post])
+    which, post = which[own], post[own]
+    if not len(window):
+        return found
+    row = row[which]
     half = int(budget(np.asarray([WINDOW]))[0]) + 1
-    diagonal = at - p.place[post] + WINDOW  # never negative
-    bands = diagonal.max() // half + 2
+    diagonal = hit[which] - (p.place[post] - p.shift[window]) + WINDOW  # never negative
+    far = int(diagonal.max()) + 2 * half
+    key, hits = np.unique((row.astype(np.int64) * len(p.item) + window) * far + diagonal, return_counts=True)
+    diagonal, rest = key % far, key // far
+    window, row = rest % len(p.item), rest // len(p.item)
+
+    def note(r: int, w: int, edits: int, begin: int, stop: int) -> None:
+        low, high = int(place[begin] - off[r]), int(place[stop - 1] + 1 - off[r])
+        own = found.setdefault((r, w), [edits, low, high])
+        own[:] = [min(own[0], edits), min(own[1], low), max(own[2], high)]
+
+    # all grams on one diagonal: the window itself
+    whole = hits == p.size[window] - Q + 1
+    for r, w, d in zip(row[whole].tolist(), window[whole].tolist(), (diagonal[whole] - WINDOW).tolist(), strict=True):
+        note(r, w, 0, d, d + int(p.size[w]))
     # bands of two halves, each overlapping the next by one
-    key = (row.astype(np.int64) * len(p.item) + window) * bands
-    key = np.concatenate([key + diagonal // half, key + diagonal // half + 1])
-    key, hits = np.unique(key, return_counts=True)
+    bands = far // half + 2
+    key = rest * bands + diagonal // half
+    key, inverse = np.unique(np.concatenate([key, key + 1]), return_inverse=True)
+    total = np.bincount(inverse, np.concatenate([hits, hits])).astype(np.int64)
+    known = np.bincount(inverse, np.concatenate([whole, whole])) > 0
     band, rest = key % bands, key // bands
     window, row = rest % len(p.item), rest // len(p.item)
-    need = np.maximum(1, p.size[window] - Q + 1 - budget(p.size[window]) * Q)
-    ok = hits >= need
+    ok = (total >= need_of(p.size[window])) & ~known
     window, row, band = window[ok], row[ok], band[ok]
     for a in range(0, len(window), 20_000):
         w, r = window[a : a + 20_000], row[a : a + 20_000]
         base = (band[a : a + 20_000] - 1) * half - WINDOW - half
+        able = hopeful(p, w, x, rows[r], rows[r + 1], base, 4 * half)
+        w, r, base = w[able], r[able], base[able]
+        if not len(w):
+            continue
         edits, ends = align(p, w, x, rows[r], rows[r + 1], base, 4 * half)
         for j in np.flatnonzero(edits <= budget(p.size[w])).tolist():
-            size = int(p.size[w[j]])
             stop = min(int(ends[j]), int(rows[r[j] + 1]))
-            begin = max(int(rows[r[j]]), stop - size)
-            low, high = int(place[begin] - off[r[j]]), int(place[stop - 1] + 1 - off[r[j]])
-            own = found.setdefault((int(r[j]), int(w[j])), [int(edits[j]), low, high])
-            own[:] = [min(own[0], int(edits[j])), min(own[1], low), max(own[2], high)]
+            note(int(r[j]), int(w[j]), int(edits[j]), max(int(rows[r[j]]), stop - int(p.size[w[j]])), stop)
     return found
 
 

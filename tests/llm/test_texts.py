@@ -315,3 +315,32 @@ def test_toxicity_training_is_bounded(spark, monkeypatch):
     labels = spark.createDataFrame([(d, x) for d, _, x in rows], "doc_id long, toxic int")
     monkeypatch.setattr(toxicity, "TOXIC_BYTES", 2000)
     assert {r.doc_id for r in toxicity.score_documents(docs, toxicity.train(docs, labels)).where("predicted = 1").collect()} == {100 + k for k in range(20)}
+
+
+def test_decontamination_brute_force():
+    """Every window that a plain semi-global alignment finds within its edits is found, and no other item."""
+    r = random.Random(31)
+    word = lambda: "".join(r.choice("abcdefghijk") for _ in range(r.randint(2, 7)))
+    items = [(k, " ".join(word() for _ in range(r.choice((7, 20, 40))))) for k in range(6)]
+    p = decontamination.patterns(items)
+    texts = []
+    for k in range(40):
+        cut = list(r.choice(items)[1])
+        a = r.randrange(max(1, len(cut) - 60))
+        cut = cut[a : a + r.randint(30, 160)]
+        for _ in range(r.randint(0, 10)):
+            i = r.randrange(len(cut))
+            cut[i : i + 1] = r.choice([[], ["z"], [cut[i], "z"]])
+        texts.append(" ".join(word() for _ in range(12)) + " " + "".join(cut) + " " + " ".join(word() for _ in range(12)))
+    got = decontamination.search(p, pa.array(texts))
+    for row, text in enumerate(texts):
+        x, _, _ = decontamination.normalise(np.frombuffer(text.encode(), np.uint8), np.asarray([0, len(text.encode())]))
+        for w in range(len(p.size)):
+            line = np.zeros(len(x) + 1, int)
+            for i in range(int(p.size[w])):
+                step = np.minimum(line[:-1] + (x != p.text[w, i]), line[1:] + 1)
+                line = np.minimum.accumulate(np.concatenate(([i + 1], step)) - np.arange(len(x) + 1)) + np.arange(len(x) + 1)
+            near = int(line.min()) <= int(decontamination.budget(p.size[w : w + 1])[0])
+            assert ((row, w) in got) == near
+            if near:
+                assert got[row, w][0] == int(line.min())
