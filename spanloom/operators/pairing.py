@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.errors import DialectError
 from spanloom.operators.windows import tick_intervals
 
 INF = float("inf")
@@ -15,12 +16,15 @@ def lockstep(left: DataFrame, right: DataFrame, keys: list[str], at: str) -> Dat
     return left.join(right, [*keys, at])
 
 
-def hold(ticks: DataFrame, held: DataFrame, keys: list[str], at: str, fields: list[str], linger: float | None = None, unbounded: bool = True, tie: str | None = None) -> DataFrame:
+def hold(ticks: DataFrame, held: DataFrame, keys: list[str], at: str, fields: list[str], linger: float | None = None, unbounded: bool = True, tie: str | None = None, lead: float = 0.0, timeout: float | None = None) -> DataFrame:
     """Each tick with the newest held row at or before it: one shuffle on the keys and a running last value.
 
     Rows at a tick's very time count; of held rows at one time the last by ``tie``. Unless ``unbounded``, the held
-    side's last row stays for ``linger`` seconds (0: its own time alone) after its time.
+    side's last row stays for ``linger`` seconds (0: its own time alone) after its time. Held rows are shown ``lead``
+    seconds ahead of their time; a feed that is silent for longer than ``timeout`` ends until its next row.
     """
+    if lead:
+        held = held.withColumn(at, F.col(at) - lead)
     last = Window.partitionBy(*keys).orderBy(F.col(at).desc(), *([F.col(tie).desc()] if tie else []))
     value = F.struct(F.col(at).alias("held_t"), *fields)
     own = held.select(*keys, at, *([F.col(tie).alias("__tie")] if tie else [F.lit(0).alias("__tie")]), value.alias("__held"), F.lit(0).alias("__side"), *([(F.row_number().over(last) == 1).alias("__last")] if not unbounded else [F.lit(False).alias("__last")]))
@@ -29,10 +33,25 @@ def hold(ticks: DataFrame, held: DataFrame, keys: list[str], at: str, fields: li
     w = Window.partitionBy(*keys).orderBy(F.col(at), "__side", F.col("__tie")).rowsBetween(Window.unboundedPreceding, 0)
     out = both.withColumn("__now", F.last(F.when(F.col("__side") == 0, F.struct("__held", "__last")), ignorenulls=True).over(w)).where("__side = 1")
     ok = F.lit(True) if unbounded else ~F.col("__now.__last") | (F.col(at) <= F.col("__now.__held.held_t") + (linger or 0.0))
+    if timeout is not None:
+        ok = ok & (F.col(at) <= F.col("__now.__held.held_t") + timeout)
     picked = [F.when(ok, F.col(f"__now.__held.{f}")).alias(f) for f in ("held_t", *fields)]
     return out.select(*ticks.columns, *picked)
 
 
+def hold_group(ticks: DataFrame, held: dict[str, DataFrame], keys: list[str], at: str, linger: float = 0.0) -> DataFrame:
+    """Several inputs held as one group: each tick with the newest row of each (the field of that name), until ``linger``
+    seconds after the last row of any of them."""
+    ends, out = None, ticks
+    for field, rows in held.items():
+        one = rows.select(*keys, at)
+        ends = one if ends is None else ends.unionByName(one)
+        out = hold(out, rows, keys, at, [field], tie=field).drop("held_t")
+    ends = ends.groupBy(*keys).agg((F.max(at) + linger).alias("__end"))
+    out = out.join(ends, keys, "left")
+    return out.withColumns({f: F.when(F.col(at) <= F.col("__end"), F.col(f)) for f in held}).drop("__end")
+
+
 def interval(ticks: DataFrame, messages: DataFrame, keys: list[str], at: str, message_at: str, fields: list[str], order: list[str], ahead: float = 0.0) -> DataFrame:
     """Each message with the first tick whose [time, next time + ahead) holds it, once.
 
@@ -57,6 +76,39 @@ def late(paired: DataFrame, seen_at: Column, bound: float, message_at: str) -> D
     return paired.withColumn("late", seen_at - F.col(message_at) > bound)
 
 
+def interval_or_late(ticks: DataFrame, messages: DataFrame, keys: list[str], at: str, message_at: str, seen_at: str, bound: float, fields: list[str], order: list[str]) -> DataFrame:
+    """As :func:`interval`, but a message seen more than ``bound`` seconds after its time goes to the next tick from then on,
+    with ``late`` set. Late messages after the last tick are left out."""
+    late_by = F.col(seen_at) - F.col(message_at) > bound
+    ready = interval(ticks, messages.where(~late_by), keys, at, message_at, fields, order)
+    # the next tick is the newest one on a clock that runs backwards
+    back = ticks.select(*keys, (-F.col(at)).alias("__x"), F.col(at).alias("tick_t"), *(F.col(o).alias(f"tick_{o}") for o in order))
+    rows = messages.where(late_by).select(*keys, message_at, *fields, (-F.col(seen_at)).alias("__x"))
+    after = hold(rows, back, keys, "__x", ["tick_t", *(f"tick_{o}" for o in order)], tie=f"tick_{order[0]}" if order else None)
+    after = after.where(F.col("tick_t").isNotNull()).drop("__x", "held_t")
+    return ready.withColumn("late", F.lit(False)).unionByName(after.withColumn("late", F.lit(True)))
+
+
+def arrival(inputs: dict[str, DataFrame]) -> DataFrame:
+    """Unpaired: the rows of every input, with its name as ``input``."""
+    out = None
+    for name, df in inputs.items():
+        one = df.withColumn("input", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def anchored(df: DataFrame, at: str, keys: list[str], how: str, tag: str | None = None, anchor: float = 0.0) -> DataFrame:
+    """A source's time on the clock: as it is, from its first frame on, or moved by what a column says."""
+    if how == "shared-clock":
+        return df
+    if how == "first-frame":
+        return shifted(df, at, keys, anchor)
+    if how == "tagged" and tag:
+        return df.withColumn(at, F.col(at) + F.coalesce(F.col(tag), F.lit(0.0)))
+    raise DialectError("UDF_ARG_TYPE", f"no anchor {how}")
+
+
 def at_or_before(rows: DataFrame, frames: DataFrame, keys: list[str], at: str, fields: list[str], tie: str | None = None) -> DataFrame:
     """Each row with the newest frame at or before it."""
     return hold(rows, frames, keys, at, fields, tie=tie)

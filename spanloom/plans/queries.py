@@ -756,3 +756,6 @@ def dialect_gather(spark, t, d):
 def dialect_rows(spark, t, d):
     text = "SELECT g, r.name FROM generate_series(1, 6) g JOIN unnest(ARRAY[STRUCT(1 AS k, 'a' AS name), STRUCT(4 AS k, 'b' AS name)]) r ON g >= r.k UNION ALL SELECT 0 AS g, n_name FROM nation WHERE n_nationkey = :n"
     return dialect.query(spark, text, {"nation": t("nation")}, variables={"n": "7"})
+
+
+from spanloom.plans import cases  # noqa: E402, F401  (registers its queries)

@@ -46,6 +46,19 @@ def substitute(text: str, values: dict[str, str]) -> str:
     return out
 
 
+def header(text: str) -> dict[str, str | None]:
+    """Variables that the leading comments declare (``-- variables: a, b = 3``), with their defaults."""
+    out: dict[str, str | None] = {}
+    for line in text.splitlines():
+        if line.strip() and not line.lstrip().startswith("--"):
+            break
+        if m := re.match(r"\s*--\s*variables:\s*(.*)", line):
+            for part in filter(None, (p.strip() for p in m[1].split(","))):
+                name, _, default = (x.strip() for x in part.partition("="))
+                out[name] = default or None
+    return out
+
+
 @dataclass
 class Script:
     """Named views, then writes that share them; a view that nothing reads is refused."""

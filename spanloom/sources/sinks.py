@@ -88,6 +88,18 @@ def write(df: DataFrame, path: str, form: str | None = None, **options) -> None:
     df.write.format(form).options(**checked(options)).mode("errorifexists").save(path)
 
 
+def write_tagged(df: DataFrame, path: str, reserved: tuple[str, ...] = (), **options) -> None:
+    """Rows whose metadata are a ``tags`` map and a ``disposition`` struct; fields that are only read can't be written."""
+    for name in df.columns:
+        if name in reserved:
+            raise DialectError("SINK_OPTION_TYPE", f"{name} is only read", hint="tags and disposition are written")
+    if "tags" in df.columns and not isinstance(df.schema["tags"].dataType, T.MapType):
+        raise DialectError("SINK_OPTION_TYPE", "tags are a map")
+    if "disposition" in df.columns and not isinstance(df.schema["disposition"].dataType, T.StructType):
+        raise DialectError("SINK_OPTION_TYPE", "a disposition is a record")
+    write(df, path, "parquet", **options)
+
+
 def write_one(df: DataFrame, path: str, **options) -> None:
     """A path of its own takes exactly one row."""
     if (n := len(df.limit(2).collect())) != 1:

@@ -31,6 +31,19 @@ def read(spark: SparkSession, path: str, form: str = "parquet", schema: T.Struct
     return (reader.schema(schema) if schema is not None else reader).load(path)
 
 
+_SCANS: dict[tuple, DataFrame] = {}
+
+
+def shared_read(spark: SparkSession, path: str, form: str = "parquet", **options) -> DataFrame:
+    """As :func:`read`, one scan for equal paths and options of a session, so that Spark can reuse its exchanges."""
+    key = (spark.sparkContext.applicationId, path, form, tuple(sorted(options.items())))
+    if key not in _SCANS:
+        if len(_SCANS) >= 256:
+            _SCANS.clear()
+        _SCANS[key] = read(spark, path, form, **options)
+    return _SCANS[key]
+
+
 def nearest(name: str, known) -> str | None:
     import difflib
 

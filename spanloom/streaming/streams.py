@@ -13,9 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanloom.errors import DialectError
+
 
 def base_dir(spark: SparkSession) -> str:
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/spanloom-checkpoints').rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A fresh folder that the driver and all executors share; only a local master may do without a setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise DialectError("INTERNAL", "spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(base or '/tmp/spanloom-checkpoints').rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def is_folder(spark: SparkSession, path: str) -> bool:
@@ -24,18 +30,29 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
-def events(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
-    """A table as a stream: every part file of a folder, or the one file of that very name."""
+def events(spark: SparkSession, sf_dir: str, name: str = "events", files: int | None = None) -> DataFrame:
+    """A table as a stream: every part file of a folder, or the one file of that very name; at most ``files`` a micro-batch."""
     path = f"{sf_dir}/{name}.parquet"
     schema = spark.read.parquet(path).schema
     reader = spark.readStream.schema(schema)
+    reader = reader.option("maxFilesPerTrigger", files) if files else reader
     # a stream's path is a folder; a single file is picked by name from the folder it lies in
     rows = reader.parquet(path) if is_folder(spark, path) else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
     # event time needs a time zone; the session's is UTC
     return rows.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.typeName() == "timestamp_ntz"})
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
+def finish(q, timeout: float | None = None) -> None:
+    """Wait for a query's end; one that is still running after ``timeout`` seconds is stopped and refused."""
+    done = q.awaitTermination(timeout) if timeout else q.awaitTermination() or True
+    if not done:
+        q.stop()
+        raise DialectError("INTERNAL", f"the stream did not end within {timeout:g} s")
+    if q.exception():
+        raise q.exception()
+
+
+def drain(stream: DataFrame, mode: str = "append", timeout: float | None = None) -> DataFrame:
     """Run to the end of the input and read back what was written.
 
     Append mode goes through a parquet sink; update and complete mode through batches of which the last row of a
@@ -51,9 +68,7 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
             df.withColumn("__batch", F.lit(batch)).write.mode("overwrite").parquet(f"{base}/out/{batch}")
 
         q = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    if q.exception():
-        raise q.exception()
+    finish(q, timeout)
     schema = stream.schema if mode == "append" else T.StructType([*stream.schema, T.StructField("__batch", T.IntegerType())])
     reader = spark.read.schema(schema)
     return reader.parquet(f"{base}/out") if mode == "append" else reader.option("recursiveFileLookup", True).parquet(f"{base}/out")
