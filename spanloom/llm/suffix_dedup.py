@@ -397,5 +397,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, as :func:`remove_repeats` defines them."""
-    return remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text")).drop("kept")
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, as :func:`remove_repeats` defines them, and text.
+
+    ``text`` is what is left; bytes of a character that a removed run has cut through show as U+FFFD.
+    """
+    out = remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
