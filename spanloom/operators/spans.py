@@ -50,8 +50,9 @@ def merge_spans(df: DataFrame, max_span: float, keys: list[str], at: str, tick_e
     if max_span <= 0:
         raise DialectError("UDF_ARG_TYPE", "a span length must be above zero")
     rows = df.where(F.col(start).isNotNull()).withColumn("__cut", F.greatest(F.lit(0), F.floor((F.col(at) - F.col(start)) / max_span)).cast("long"))
-    last = [F.max_by(c, F.col(at)).alias(c) for c in fields]
-    out = rows.groupBy(*keys, start, "__cut").agg(F.max_by(tick_end, F.col(at)).alias("__end"), F.count("*").alias("n_rows"), *last)
+    newest = F.struct(at, tick_end, *fields)  # ties of time go by the other fields
+    last = [F.max_by(c, newest).alias(c) for c in fields]
+    out = rows.groupBy(*keys, start, "__cut").agg(F.max_by(tick_end, newest).alias("__end"), F.count("*").alias("n_rows"), *last)
     low = F.col(start) + F.col("__cut") * max_span
     return out.select(*keys, low.alias("span_start"), F.least(F.col("__end"), low + max_span).alias("span_end"), "n_rows", *fields)
 
