@@ -344,3 +344,28 @@ def test_decontamination_brute_force():
             assert ((row, w) in got) == near
             if near:
                 assert got[row, w][0] == int(line.min())
+
+
+@pytest.mark.parametrize("kind", ["clustered", "isotropic", "flat", "huge"])
+def test_vector_levels(kind):
+    """Blocks that pass one after another leave the k best of all rows, whichever way a level is computed."""
+    draw = np.random.RandomState(3)
+    x = {
+        "clustered": lambda: np.repeat(draw.randint(-900, 900, (20, 8)), 8, 1)[draw.randint(0, 20, 600)] + draw.randint(-2, 3, (600, 64)),
+        "isotropic": lambda: draw.randint(-30, 30, (600, 64)),
+        "flat": lambda: np.zeros((600, 64), np.int64),
+        "huge": lambda: draw.randint(-(2**40), 2**40, (600, 64)),
+    }[kind]().astype(np.int64)
+    ids = draw.permutation(600).astype(np.int64) * 3
+    asked = vector_search.Asked(ids[:300], x[:300], np.full(300, -(2.0**62)))
+    for a in range(0, 600, 70):
+        asked.meet(vector_search.Rows(ids[a : a + 70], x[a : a + 70]), 5)
+    q, found, score = (c.tolist() for c in asked.found)
+    want = []
+    for n in range(300):
+        s = [sum(a * b for a, b in zip(x[n].tolist(), r.tolist(), strict=True)) for r in x]
+        s = [max(-(2**63), min(2**63 - 1, v)) for v in s]
+        want += sorted(((n, i, v) for i, v in zip(ids.tolist(), s, strict=True) if i != ids[n]), key=lambda r: (-r[2], r[1]))[:5]
+    assert list(zip(q, found, score, strict=True)) == want
+    if kind == "clustered":
+        assert asked.tried[-2] < 0.6 * asked.tried[0]
