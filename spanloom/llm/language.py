@@ -22,6 +22,8 @@ from spanloom.llm.common import crc_mod, slices, table, tidy
 #: Training rows of a language, the longest text (bytes) among them, n-gram orders, hashed features of an order.
 TRAIN_ROWS, TRAIN_BYTES, ORDERS, BITS = 600, 65_536, (1, 2, 3), 13
 WIDTH = len(ORDERS) << BITS
+#: Training texts made dense at a time, and blocks of them that stay so; the rest are held as their non-zero features.
+BLOCK, DENSE_BLOCKS = 512, 8
 #: Gap between the best two codewords' probabilities under which a text is ambiguous.
 AMBIGUOUS = 0.2
 
@@ -73,14 +75,46 @@ def grams(buf: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def row_features(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Mean presence of every feature, a row a text (for training)."""
-    out = np.zeros((len(off) - 1, WIDTH), np.float32)
-    for r in range(len(off) - 1):
-        for f in grams(buf[off[r] : off[r + 1]]):
-            if len(f):
-                out[r] += np.bincount(f, minlength=WIDTH) / np.float32(len(f))
-    return out
+class Features:
+    """Mean presence of every feature, a row a text, as blocks of rows (for training).
+
+    A text's non-zero features take some KB, a dense row 96: only DENSE_BLOCKS blocks stay dense, whatever the number
+    of languages; the others are made again each time they are read.
+    """
+
+    def __init__(self, buf: np.ndarray, off: np.ndarray):
+        self.rows: list[tuple[np.ndarray, np.ndarray]] = []
+        for r in range(len(off) - 1):
+            at, value = [], []
+            for f in grams(buf[off[r] : off[r + 1]]):
+                if len(f):
+                    u, n = np.unique(f, return_counts=True)
+                    at.append(u.astype(np.int32))
+                    value.append((n / len(f)).astype(np.float32))
+            self.rows.append((np.concatenate(at), np.concatenate(value)) if at else (np.zeros(0, np.int32), np.zeros(0, np.float32)))
+        self.mean, self.scale, self.held = np.zeros(WIDTH, np.float32), np.ones(WIDTH, np.float32), {}
+        total = sum(x.sum(axis=0, dtype=np.float64) for _, x in self.blocks())
+        self.mean = (total / len(self.rows)).astype(np.float32)
+        square = sum(np.einsum("ij,ij->j", x, x, dtype=np.float64) for _, x in self.blocks())
+        self.scale = (1 / (np.sqrt(square / len(self.rows)) + 1e-3)).astype(np.float32)
+
+    def keep(self) -> None:
+        """Hold the first blocks, centred and scaled."""
+        self.held = {at.start: x for at, x in itertools.islice(self.blocks(), DENSE_BLOCKS)}
+
+    def blocks(self):
+        """(rows, their centred and scaled features) block by block."""
+        for a in range(0, len(self.rows), BLOCK):
+            at = slice(a, min(a + BLOCK, len(self.rows)))
+            if a in self.held:
+                yield at, self.held[a]
+                continue
+            x = np.zeros((at.stop - a, WIDTH), np.float32)
+            for r, (i, v) in enumerate(self.rows[at]):
+                x[r, i] = v
+            x -= self.mean
+            x *= self.scale
+            yield at, x
 
 
 def fit(texts: pa.Array, lang: list[str], steps: int = 150) -> Model:
@@ -88,26 +122,29 @@ def fit(texts: pa.Array, lang: list[str], steps: int = 150) -> Model:
     code = codewords(len(names))
     if len(names) < 2:
         return Model(names, code, np.zeros((WIDTH, 1), np.float32), np.ones(1, np.float32), np.ones(1), 1.0)
-    x = row_features(*tv.strings(texts))
-    x -= (mean := x.mean(axis=0))
-    scale = 1 / (x.std(axis=0) + 1e-3)
-    x *= scale
-    target = code[[names.index(k) for k in lang]].astype(np.float32)
-    share = np.asarray([1 / lang.count(k) for k in lang], np.float32)
+    x = Features(*tv.strings(texts))
+    x.keep()
+    number = {k: n for n, k in enumerate(names)}
+    of = np.asarray([number[k] for k in lang])
+    target = code[of].astype(np.float32)
+    share = (1 / np.bincount(of)[of]).astype(np.float32)
     share /= share.sum()
     w, b = np.zeros((WIDTH, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     m1, m2 = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, steps + 1):
-        margin = x @ w + b
-        g = -target / (1 + np.exp(np.clip(target * margin, -30, 30))) * share[:, None]
-        gw = x.T @ g + 1e-4 * w
+        gw, gb = 1e-4 * w, np.zeros_like(b)
+        for at, rows in x.blocks():
+            margin = rows @ w + b
+            g = -target[at] / (1 + np.exp(np.clip(target[at] * margin, -30, 30))) * share[at, None]
+            gw += rows.T @ g
+            gb += g.sum(axis=0)
         m1 = 0.9 * m1 + 0.1 * gw
         m2 = 0.99 * m2 + 0.01 * gw * gw
         w -= 0.003 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-8)
-        b -= 0.5 * g.sum(axis=0)
-    right = ((x @ w + b) * target > 0).mean(axis=0)
-    weight = w * scale[:, None]
-    return Model(names, code, weight, b - mean @ weight, np.maximum(0.05, 2 * right - 1), 3.0 / code.shape[1])
+        b -= 0.5 * gb
+    right = sum(((rows @ w + b) * target[at] > 0).sum(axis=0) for at, rows in x.blocks()) / len(lang)
+    weight = w * x.scale[:, None]
+    return Model(names, code, weight, b - x.mean @ weight, np.maximum(0.05, 2 * right - 1), 3.0 / code.shape[1])
 
 
 def decode(model: Model, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

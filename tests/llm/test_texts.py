@@ -369,3 +369,18 @@ def test_vector_levels(kind):
     assert list(zip(q, found, score, strict=True)) == want
     if kind == "clustered":
         assert asked.tried[-2] < 0.6 * asked.tried[0]
+
+
+def test_language_blocks(monkeypatch):
+    """The model is the same whether the training texts stay dense or are made again block by block."""
+    draw = random.Random(5)
+    words = {"a": ["lorem", "ipsum", "dolor"], "b": ["kala", "meri", "sauna"], "c": ["xyzzy", "plugh", "zork"]}
+    lang = [k for k in words for _ in range(30)]
+    texts = pa.array([" ".join(draw.choices(words[k], k=9)) for k in lang] + ["", "é"], pa.string())
+    lang += ["a", "b"]
+    first = language.fit(texts, lang, steps=20)
+    monkeypatch.setattr(language, "BLOCK", 7)
+    monkeypatch.setattr(language, "DENSE_BLOCKS", 2)
+    second = language.fit(texts, lang, steps=20)
+    assert np.abs(first.weight - second.weight).max() < 0.05 * np.abs(first.weight).max()
+    assert language.predict(second, texts)[0][:90] == language.predict(first, texts)[0][:90] == lang[:90]
