@@ -68,6 +68,20 @@ def dialect_lateral(spark, t, d):
     return dialect.query(spark, "SELECT o.o_orderkey, e.l_partkey AS part, e.l_quantity AS quantity FROM o, LATERAL unnest(o.items) e WHERE e.l_quantity > 45", {"o": nested})
 
 
+@query("SELECT o_orderkey, o_totalprice * 0.9 - 10 AS net, CASE WHEN o_totalprice * 0.9 - 10 >= 200000 THEN 'F:big' ELSE 'F:small' END AS tag FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 150000")
+def dialect_function(spark, t, d):
+    """Functions of a script: defaults, arguments by name, one function in another, and a table with a parameter."""
+    return dialect.query(
+        spark,
+        """CREATE FUNCTION net(price number, share number DEFAULT 0.9, fee number DEFAULT 0) RETURNS number AS $$ SELECT price * share - fee $$ LANGUAGE sql;
+        CREATE FUNCTION size_of(price number) RETURNS text AS $$ SELECT CASE WHEN net(price, fee => 10) >= 200000 THEN 'big' ELSE 'small' END $$ LANGUAGE sql;
+        CREATE FUNCTION dear(least number, status text DEFAULT 'F') RETURNS TABLE(k number, price number, s text)
+          AS $$ SELECT o_orderkey AS k, o_totalprice AS price, o_orderstatus AS s FROM o WHERE o_orderstatus = status AND o_totalprice > least $$ LANGUAGE sql;
+        SELECT d.k AS o_orderkey, net(d.price, fee => 10) AS net, d.s || ':' || size_of(d.price) AS tag FROM dear(150000) d""",
+        {"o": t("orders")},
+    )
+
+
 @query("SELECT r_regionkey, count(*) AS n, CAST(r_regionkey AS BIGINT) AS number FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey")
 def lateral_messages(spark, t, d):
     """A sub-query run once for each message, one after another, with the message's fields bound."""
