@@ -27,7 +27,7 @@ def split(text: str | None) -> list[str]:
 
 def plain_word(s: str) -> bool:
     """Whether ``s`` is one run of letters that normalising leaves alone but for lower-casing each letter."""
-    return s.isalpha() and (s.isascii() or (unicodedata.is_normalized("NFC", s) and not any(c in "Σİ" for c in s)))
+    return s.isalpha() and (s.isascii() or (unicodedata.is_normalized("NFC", s) and "Σ" not in s and "İ" not in s))
 
 
 class ChunkMemo(dict):
@@ -85,12 +85,15 @@ class ChunkMemo(dict):
     def values_of(self, texts) -> list[list]:
         """Per text the values of its chunks."""
         cut = [split(t) for t in texts]
-        fresh = set().union(*cut).difference(self)
+        self.learn(set().union(*cut).difference(self))
+        get = self.__getitem__
+        return [list(map(get, c)) for c in cut]
+
+    def learn(self, fresh) -> None:
+        """Take in distinct chunks that the younger half lacks."""
         if fresh:
             old = self.old
             known = {c: old[c] for c in fresh if c in old}
             values = self.fill([c for c in fresh if c not in known])
             self.update(known)
             self.update(values)
-        get = self.__getitem__
-        return [list(map(get, c)) for c in cut]

@@ -26,46 +26,123 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.chunks import ChunkMemo
+from spanloom.llm.chunks import MARKS, MEMO_ENTRIES, ChunkMemo
 from spanloom.llm.common import CACHES, n_parts, shared_dir, slices, table, tidy
 
 MAGIC, VERSION, BLOCK, PERCENTILE, END_ID = b"SLPF", 1, 128, 0.9, 2
 #: Ids after which a writer closes its shard.
 SHARD_IDS = 2_000_000
+#: Text bytes whose chunks are told apart together.
+ENCODE_BYTES = 8 << 20
+#: Words whose letters lie under U+0250, without the one (U+0130) that does not lower-case to a single letter.
+LATIN = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+$"
+#: Marks after such a word; a chunk with more is encoded whole.
+LONGEST_TAIL = 8
 NO_ID = -(2**63)
 SHARDS = "shard long, seq int, n_docs long, n_ids long, payload binary"
 
 
-@lru_cache(1)
-def library_memo(path: str) -> ChunkMemo:
-    """A memo whose unseen words are encoded by the tokenizers library, many in a call."""
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_file(path)
-    tok.no_truncation()
-    tok.no_padding()
-    closes = np.zeros(tok.get_vocab_size() + 1, bool)
-    for s, i in tok.get_vocab().items():
-        closes[i] = s.endswith("</w>")
-
-    def words(some: list[str]) -> list[bytes]:
+NOTHING = pa.array([], pa.string()), pa.array([], pa.large_binary())
+
+
+class LibraryMemo(ChunkMemo):
+    """Chunks' ids as bytes, from the tokenizers library. Latin words, nearly all of a text, are kept and met as Arrow arrays."""
+
+    def __init__(self, path: str, most: int = MEMO_ENTRIES):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        def library():
+            tok = Tokenizer.from_file(path)
+            tok.no_truncation()
+            tok.no_padding()
+            return tok
+
+        # normalising leaves lower-case Latin words alone, and each is one pre-token
+        self.whole, self.bare = library(), library()
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.closes = np.zeros(self.whole.get_vocab_size() + 1, bool)
+        for s, i in self.whole.get_vocab().items():
+            self.closes[i] = s.endswith("</w>")
+        super().__init__(lambda some: self.words_by(self.whole, some).to_pylist(), self.others_by, bytes.__add__, most)
+        self.known = self.known_before = NOTHING
+
+    def others_by(self, some: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.whole.encode_batch_fast(some, add_special_tokens=False)]
+
+    def words_by(self, tok, some: list[str]) -> pa.Array:
+        lines = [" ".join(some[i : i + 256]) for i in range(0, len(some), 256)]
+        ids = [np.asarray(e.ids, "<u4") for k in range(0, len(lines), 64) for e in tok.encode_batch_fast(lines[k : k + 64], add_special_tokens=False)]
+        ids = np.concatenate([np.zeros(0, "<u4"), *ids])
         # a plain word is one pre-token, and the last token of each pre-token closes it
-        lines = [" ".join(some[i : i + 64]) for i in range(0, len(some), 64)]
-        ids = np.concatenate([np.asarray(e.ids, "<u4") for e in tok.encode_batch_fast(lines, add_special_tokens=False)])
-        stops = (4 * (np.flatnonzero(closes[ids]) + 1)).tolist()
+        stops = 4 * (np.flatnonzero(self.closes[ids]) + 1)
         if len(stops) != len(some):
-            return others(some)
-        raw = ids.tobytes()
-        return [raw[a:z] for a, z in zip([0, *stops[:-1]], stops, strict=True)]
+            return pa.array(self.others_by(some), pa.large_binary())
+        return pa.Array.from_buffers(pa.large_binary(), len(some), [None, pa.py_buffer(np.concatenate(([0], stops)).astype(np.int64)), pa.py_buffer(ids)])
+
+    def latin(self, words: pa.Array) -> pa.Array:
+        """Values of distinct lower-case Latin words."""
+        young, old = (values.take(pc.index_in(words, value_set=names)) for names, values in (self.known, self.known_before))
+        out = pc.coalesce(young, old)
+        fresh = words.filter(out.is_null())
+        if len(fresh):
+            out = pc.replace_with_mask(out, out.is_null(), self.words_by(self.bare, fresh.to_pylist()))
+        new = young.is_null()
+        if len(self.known[0]) > self.most:
+            self.known_before, self.known = self.known, NOTHING
+        self.known = tuple(pa.concat_arrays([a, b.filter(new)]) for a, b in zip(self.known, (words, out), strict=True))
+        return out
 
-    def others(some: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(some, add_special_tokens=False)]
+    def distinct_values(self, chunks: pa.Array) -> pa.Array:
+        """Values of distinct chunks without ASCII white space."""
+        core = pc.ascii_rtrim(chunks, MARKS)
+        tail_size = pc.subtract(pc.binary_length(chunks), pc.binary_length(core)).to_numpy(zero_copy_only=False)
+        latin = pc.match_substring_regex(core, LATIN).to_numpy(zero_copy_only=False) & (tail_size <= LONGEST_TAIL)
+        low = pc.utf8_lower(core.filter(pa.array(latin))).dictionary_encode()
+        parts = [self.latin(low.dictionary).take(low.indices)]
+        size, some = tail_size[latin], chunks.filter(pa.array(latin))
+        if size.any():
+            tail = np.zeros(len(size), np.int64)
+            tails = [b""]
+            for n in np.unique(size[size > 0]).tolist():
+                own = pc.utf8_slice_codeunits(some.filter(pa.array(size == n)), -n).dictionary_encode()
+                tail[size == n] = own.indices.to_numpy() + len(tails)
+                tails += self.values_in(own.dictionary.to_pylist())
+            parts.append(pa.array(tails, pa.large_binary()).take(pa.array(tail)))
+            parts = [pc.binary_join_element_wise(*parts, pa.scalar(b"", pa.large_binary()))]
+        rest = self.values_in(chunks.filter(pa.array(~latin)).to_pylist())
+        at = np.empty(len(chunks), np.int64)
+        at[latin] = np.arange(len(some))
+        at[~latin] = len(some) + np.arange(len(rest))
+        return pa.concat_arrays([*parts, pa.array(rest, pa.large_binary())]).take(pa.array(at))
+
+    def values_in(self, chunks: list[str]) -> list[bytes]:
+        self.learn([c for c in chunks if c not in self])
+        return list(map(self.__getitem__, chunks))
+
+    def joined(self, texts: pa.Array, end: bytes) -> tuple[pa.Buffer, np.ndarray]:
+        """The ids of the texts one after another as bytes, each text's with ``end`` after them, and where each text ends.
+
+        Cut at ASCII white space only: other white space stays within a chunk and is folded there.
+        """
+        cut = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = cut.flatten().dictionary_encode()
+        values = pa.concat_arrays([self.distinct_values(coded.dictionary.cast(pa.string())), pa.array([end], pa.large_binary())])
+        stops = np.diff(cut.offsets.to_numpy()).cumsum()
+        at = np.insert(coded.indices.to_numpy().astype(np.int64), stops, len(coded.dictionary))
+        out = values.take(pa.array(at))
+        ends = np.frombuffer(out.buffers()[1], np.int64)[: len(at) + 1]
+        return out.buffers()[2], ends[stops + np.arange(1, len(stops) + 1)]
 
-    return ChunkMemo(words, others, bytes.__add__)
+
+@lru_cache(1)
+def library_memo(path: str) -> LibraryMemo:
+    return LibraryMemo(path)
 
 
 def put_bits(x: np.ndarray, w: int) -> np.ndarray:
@@ -167,26 +244,34 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer_path: str, shard_id
 
         shard, seq = TaskContext.get().partitionId(), 0
         end = np.asarray([end_id], "<u4").tobytes()
-        held: list[bytes] = []
-        names: list[int] = []
-        ends: list[int] = []
+        held: list[np.ndarray] = []
+        names: list[np.ndarray] = []
+        ends: list[np.ndarray] = []
         total = 0
 
         def close():
             nonlocal held, names, ends, total, seq
-            payload = pack(np.frombuffer(b"".join(held), "<u4"), np.asarray(names, np.int64), np.asarray(ends, np.uint64), percentile)
-            out = pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "seq": pa.array([seq], pa.int32()), "n_docs": pa.array([len(names)], pa.int64()), "n_ids": pa.array([total], pa.int64()), "payload": pa.array([payload], pa.binary())})
+            doc_id = np.concatenate(names)
+            payload = pack(np.concatenate(held), doc_id, np.concatenate(ends), percentile)
+            out = pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "seq": pa.array([seq], pa.int32()), "n_docs": pa.array([len(doc_id)], pa.int64()), "n_ids": pa.array([total], pa.int64()), "payload": pa.array([payload], pa.binary())})
             held, names, ends, total, seq = [], [], [], 0, seq + 1
             return out
 
         for whole in batches:
-            for b in slices(whole, "text"):
-                for i, parts in zip(b.column("doc_id").to_pylist(), memo.values_of(b.column("text").to_pylist()), strict=True):
-                    ids = b"".join(parts)
-                    held += (ids, end)
-                    total += len(ids) // 4 + 1
-                    names.append(NO_ID if i is None else i)
-                    ends.append(total)
+            for b in slices(whole, "text", ENCODE_BYTES):
+                doc_id = b.column("doc_id").fill_null(NO_ID).to_numpy()
+                raw, stop = memo.joined(b.column("text"), end)
+                ids, stop = np.frombuffer(raw, "<u4"), stop // 4
+                first = row = 0
+                while row < len(stop):
+                    # up to the text that fills the shard
+                    till = min(int(np.searchsorted(stop, first + shard_ids - total)) + 1, len(stop))
+                    last = int(stop[till - 1])
+                    held.append(ids[first:last])
+                    names.append(doc_id[row:till])
+                    ends.append(stop[row:till] - first + total)
+                    total += last - first
+                    first, row = last, till
                     if total >= shard_ids:
                         yield close()
         if names:

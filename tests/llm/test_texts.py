@@ -384,3 +384,28 @@ def test_language_blocks(monkeypatch):
     second = language.fit(texts, lang, steps=20)
     assert np.abs(first.weight - second.weight).max() < 0.05 * np.abs(first.weight).max()
     assert language.predict(second, texts)[0][:90] == language.predict(first, texts)[0][:90] == lang[:90]
+
+
+@pytest.mark.parametrize("most", (10, 500_000))
+def test_token_memo(library, most):
+    rng = random.Random(5)
+    words = ["Straße", "naïve", "İstanbul", "ΟΔΟΣ", "don't", "x86", "Ǆ", "ⱥȺ", "ſ", "ª", "cafe\u0301", "÷", "日本", "a\x1fb", "a\xa0b", "\u2003x", "<|endoftext|>", "tail!!!!!!!!!!!", "..", "|", "w<|endoftext|>."]
+    words += ["".join(rng.choices("abcdefgéßXYZ", k=rng.randint(1, 9))) for _ in range(200)]
+    texts = [None, "", " \n", *("".join(rng.choice(words) + rng.choice(("", "", ".", ",:", "?!")) + rng.choice((" ", "\n", "\t ", " \x0b", "\r\n", "\x85")) for _ in range(60)) for _ in range(40))]
+    memo = token_blocks.LibraryMemo(PATH, most)
+    end = b"\2\0\0\0"
+    for a in range(0, len(texts), 7):
+        some = pa.array(texts, pa.string())[a : a + 7]
+        raw, stops = memo.joined(some, end)
+        want = [np.asarray(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() + end for t in some.to_pylist()]
+        assert bytes(raw) == b"".join(want) and stops.tolist() == np.cumsum([len(w) for w in want]).tolist()
+
+
+def test_token_memo_asks_once(library, monkeypatch):
+    memo = token_blocks.LibraryMemo(PATH)
+    first, _ = memo.joined(pa.array(["Eins zwei. drei, vier!", "eins"]), b"")
+    asked = []
+    monkeypatch.setattr(memo, "words_by", lambda tok, some: asked.append(some))
+    again, _ = memo.joined(pa.array(["eins ZWEI. Drei, vier! EINS"]), b"")
+    # words met before, in other cases and before other marks, are not encoded again; only the marks are Python strings
+    assert bytes(first) == bytes(again) and not asked and set(memo) == set(".,!")
