@@ -46,20 +46,26 @@ WORDS, LINES, AGAIN, STEPS, ROWS = range(5)
 class Lines:
     """Lines of a slice of texts with their sorted distinct word hashes; ``base`` is added to a row's line numbers."""
 
-    def __init__(self, texts: pa.Array, base: np.ndarray | None = None):
+    def __init__(self, texts: pa.Array, base: np.ndarray | None = None, wanted=None):
+        """``wanted``, if given, tells by a line's row and number whether its words are needed; other lines get none."""
         buf, off = tv.strings(texts)
         breaks = np.flatnonzero(buf == 10) + 1
         full = np.flatnonzero(np.diff(off) > 0)
         starts = np.union1d(off[full], breaks)
         starts = starts[starts < len(buf)]  # a break at a text's end starts no line
         self.row = np.searchsorted(off, starts, "right") - 1
-        w = tv.words(tv.fold(buf), np.append(starts, len(buf)) if len(starts) else np.zeros(1, np.int64))
-        self.values, self.bounds = tv.unique_sets(w.row, w.hash, len(starts))
-        self.n = np.diff(self.bounds)
         first = np.searchsorted(self.row, np.arange(len(off) - 1))
         self.number = np.arange(len(starts)) - first[self.row] if len(starts) else np.zeros(0, np.int64)
         if base is not None and len(starts):
             self.number = self.number + base[self.row]
+        off = np.append(starts, len(buf)) if len(starts) else np.zeros(1, np.int64)
+        if wanted is not None and len(starts):
+            size = np.where(wanted(self.row, self.number), np.diff(off), 0)
+            buf = buf[np.repeat(size > 0, np.diff(off))]
+            off = np.concatenate(([0], np.cumsum(size)))
+        w = tv.words(tv.fold(buf), off)
+        self.values, self.bounds = tv.unique_sets(w.row, w.hash, len(starts))
+        self.n = np.diff(self.bounds)
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         k1, k2 = np.zeros(len(self.n), tv.U64), np.zeros(len(self.n), tv.U64)
@@ -203,10 +209,13 @@ def rank_of(tags: np.ndarray, rank: np.ndarray, v: np.ndarray) -> np.ndarray:
 def line_order(row: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Order by row and rank; equal ones stay as they are."""
     start = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-    local = np.arange(len(row)) - np.repeat(start, np.diff(np.append(start, len(row))))
+    base = np.repeat(start, np.diff(np.append(start, len(row))))
+    local = np.arange(len(row)) - base
     if row[-1] < 1 << 20 and local.max() < 1 << 16 and rank.max() < 1 << 28:
-        # no two are equal, so that any sort will do
-        return np.argsort((row.astype(tv.U64) << tv.U64(44)) | (rank.astype(tv.U64) << tv.U64(16)) | local.astype(tv.U64))
+        # rows stay where they are, so that the places within them can be read from the sorted numbers
+        key = (row.astype(tv.U64) << tv.U64(44)) | (rank.astype(tv.U64) << tv.U64(16)) | local.astype(tv.U64)
+        key.sort()
+        return (key & tv.U64(0xFFFF)).astype(np.int64) + base
     return np.lexsort((rank, row))
 
 
@@ -252,7 +261,7 @@ def postings(docs: DataFrame, order: Broadcast, similarity: float, parts: int) -
 
         def out():
             cols = [np.concatenate(c) for c in zip(*held, strict=True)]
-            by = np.argsort(cols[0], kind="stable")
+            by = np.argsort(cols[0])
             cols = [c[by] for c in cols]
             cut = np.searchsorted(share_of(cols[0], parts), np.arange(parts + 1))
             for s in np.flatnonzero(np.diff(cut)).tolist():
@@ -324,23 +333,41 @@ def earliest(word: np.ndarray, key: np.ndarray, doc: np.ndarray, line: np.ndarra
 
 
 class Postings:
-    """Postings in order of (word, n, doc, line), one for each word and set."""
+    """Postings in order of (word, n, doc, line), one for each word and set.
 
-    def __init__(self, held: list[tuple]):
+    ``lone``: words of which a single posting is kept as well; of others it has no partner and goes. All, if None.
+    """
+
+    def __init__(self, held: list[tuple], lone: set | None = None):
         cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+        if lone is not None:
+            by = np.argsort(cols[0])
+            word = cols[0][by]
+            twin = word[1:] == word[:-1]
+            several = np.concatenate((twin, [False])) | np.concatenate(([False], twin))
+            if lone:
+                several |= np.isin(word, np.asarray(sorted(lone), tv.U64))
+            cols = [c[by[several]] for c in cols]
         keep = earliest(*cols[:4])
         if not keep.all():
             cols = [c[keep] for c in cols]
-        by = np.argsort(cols[0], kind="stable")
-        word = cols[0][by]
-        cut = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-        group = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(by))))
-        place = (group << 32) | cols[6][by]
-        by = by[np.lexsort((cols[3][by], cols[2][by], place))]
+        if lone is None:
+            by = np.argsort(cols[0])
+            cols = [c[by] for c in cols]
+        word = cols[0]
+        cut = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1]))) if len(word) else np.zeros(0, np.int64)
+        group = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, len(word))))
+        place = (group << 32) | cols[6]
+        by = np.argsort(place)
+        twin = place[by][1:] == place[by][:-1]
+        if twin.any():
+            some = np.concatenate((twin, [False])) | np.concatenate(([False], twin))
+            at = by[some]
+            by[some] = at[np.lexsort((cols[3][at], cols[2][at], place[at]))]
         self.cols = [c[by] for c in cols]
         self.word, self.key, self.doc, self.line, self.b1, self.b2, n, pos = self.cols
         self.n, self.pos = n.astype(np.int64), pos.astype(np.int64)
-        self.cut = np.append(cut, len(by))
+        self.cut = np.append(cut, len(by)).astype(np.int64)
 
     def take(self, keep: np.ndarray) -> tuple:
         return tuple(c[keep] for c in self.cols)
@@ -466,7 +493,7 @@ def candidates(posts: DataFrame, similarity: float, parts: int, tries: int) -> D
                 size = len(held[0][0])
                 most = max(most, 2 * size)
         if held:
-            p = Postings(held)
+            p = Postings(held, large)
             size = np.diff(p.cut)
             large.update(p.word[p.cut[:-1][size > GROUP]].tolist())
             turn = (np.arange(len(p.word)) - np.repeat(p.cut[:-1], size)) // GROUP
@@ -520,11 +547,12 @@ def sets_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             d = whole.column("doc_id").to_numpy(zero_copy_only=False)
             whole = whole.filter(pa.array(in_set(holders, place_name(d, np.zeros(len(d))))))
             for b in slices(whole, "text"):
-                x, doc = lines_of(b)
-                on = np.flatnonzero(in_set(wanted, place_name(doc, x.number)) & (x.n > 0)) if len(x.n) else np.zeros(0, np.int64)
+                ids, base = (b.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "base"))
+                x = Lines(b.column("text"), base, lambda row, number, ids=ids: in_set(wanted, place_name(ids[row], number)))
+                on, v = np.flatnonzero(x.n > 0), x.values
                 if not len(on):
                     continue
-                v = x.values[np.repeat(np.isin(np.arange(len(x.n)), on), x.n)]
+                doc = ids[x.row]
                 start = np.concatenate(([0], np.cumsum(x.n[on])))
                 bit = tv.mix(v * _SALT2)
                 low, which = tv.U64(1) << (bit & tv.U64(63)), (bit >> tv.U64(6)) & tv.U64(7)

@@ -1,8 +1,12 @@
 """Joins and deduplication against brute force."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
+
 from spanloom.llm import jaccard_join as jj
 from spanloom.llm import line_dedup as ld
 from spanloom.llm import suffix_dedup as sd
@@ -199,3 +203,39 @@ def test_one_of_each(docs, docs_rows, no_docs):
     out = jj.one_of_each(docs)
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == want
     assert jj.one_of_each(no_docs).count() == 0
+
+
+def test_lines_wanted():
+    rng = random.Random(3)
+    texts = pa.array([None, "", "\n", *("".join(rng.choices("aB é\n\t", k=rng.randint(1, 40))) for _ in range(200))])
+    base = np.arange(len(texts)) << 31
+    whole = ld.Lines(texts, base)
+    asked = []
+
+    def wanted(row, number):
+        asked.append(len(row))
+        return (row + number) % 3 == 0
+
+    some = ld.Lines(texts, base, wanted)
+    keep = wanted(whole.row, whole.number)
+    assert asked == [len(whole.n)] * 2 and keep.any() and (some.n == np.where(keep, whole.n, 0)).all()
+    assert (some.row == whole.row).all() and (some.number == whole.number).all() and (some.values == whole.values[np.repeat(keep, whole.n)]).all()
+
+
+def test_postings_without_partners():
+    rng = np.random.RandomState(4)
+    n = 4000
+    cols = {"word": rng.zipf(1.3, n) * 2**40 % 2**62, "key": np.arange(n), "doc": rng.randint(0, 900, n), "line": np.arange(n), "b1": rng.randint(0, 2**40, n), "b2": np.zeros(n), "n": rng.randint(2, 9, n), "pos": np.zeros(n)}
+    held = [tuple(np.asarray(cols[c]).astype(kind) for c, kind in ld.POSTING.items())]
+
+    def pairs(p):
+        return sorted((p.word[a], p.line[a], p.line[b], c) for i, j, apart in p.pairs(0.1) for a, b, c in zip(i, j, apart, strict=True))
+
+    every, some = ld.Postings(held), ld.Postings(held, set())
+    word, count = np.unique(held[0][0], return_counts=True)
+    lone = word[count == 1]
+    assert pairs(every) and pairs(every) == pairs(some) and len(every.word) == n
+    assert len(lone) and len(some.word) == n - len(lone) and len(ld.Postings(held, {int(lone[0])}).word) == n - len(lone) + 1
+    for p in (every, some):
+        assert (np.lexsort((p.line, p.doc, p.n, p.word)) == np.arange(len(p.word))).all()
+    assert not len(ld.Postings([tuple(c[held[0][0] == lone[0]] for c in held[0])], set()).word)
